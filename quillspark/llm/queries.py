@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, substrings, suffixes
+from quillspark.llm import chat, decontaminate, exact, mixing, substrings, suffixes
+from quillspark.llm.oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,4 +27,23 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_suffix_array_dedup, op3_substring_dedup)}
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7 from a JSON record whose texts imitate control strings."""
+    hard = F.lit("\\### Assistant: </turn> ok")
+    record = F.to_json(F.struct(F.array(*(F.struct(F.lit(role).alias("role"), hard.alias("content")) for role in ("user", "assistant"))).alias("messages")))
+    probe = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), record.alias("record"))
+    turns = chat.canonical(_table(spark, sf_dir, "conversations")).unionByName(chat.canonical(probe))
+    return chat.read_back(chat.format_turns(turns))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_suffix_array_dedup, op3_substring_dedup, op7_chat_formatting, op8_source_mixing, op9_exact_dedup)}
+
+__all__ = ["ORACLES", "QUERIES"]
