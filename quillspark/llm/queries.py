@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, decontaminate, exact, mixing, substrings, suffixes
+from quillspark.llm import chat, decontaminate, exact, language, mixing, quality, substrings, suffixes
 from quillspark.llm.oracles import ORACLES
 
 
@@ -27,6 +27,24 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("text")
 
 
+def _fold(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns where the remainder by 4 is not 2, predicts every document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(_fold(4) != 2))
+    return language.identify(docs, model).withColumn("held_out", _fold(4) == 2)
+
+
+def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns where the remainder by 5 is not 0, scores every document."""
+    docs = _table(spark, sf_dir, "documents")
+    ranker = quality.fit(docs, _table(spark, sf_dir, "labels").filter(_fold(5) != 0))
+    return quality.rate(docs, ranker).withColumn("held_out", _fold(5) == 0)
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -7 from a JSON record whose texts imitate control strings."""
     hard = F.lit("\\### Assistant: </turn> ok")
@@ -44,6 +62,6 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_suffix_array_dedup, op3_substring_dedup, op7_chat_formatting, op8_source_mixing, op9_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_suffix_array_dedup, op3_substring_dedup, op4_language_id, op5_quality_ranking, op7_chat_formatting, op8_source_mixing, op9_exact_dedup)}
 
 __all__ = ["ORACLES", "QUERIES"]
