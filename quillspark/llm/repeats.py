@@ -37,13 +37,27 @@ class Sketch:
         return (bit(a) & bit(b)).astype(bool)
 
 
-def build_sketch(texts: DataFrame, values: Callable[[np.ndarray, np.ndarray], np.ndarray], bits: int) -> Sketch:
-    """Merges the partitions' sketches of values(bytes, offsets), one block of cells in a task at a time.
+def text_values(of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
+    """of(bytes, offsets) over the texts of a batch, in chunks."""
+
+    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        data, offsets = buffers(batch["text"])
+        for lo, hi in chunks(offsets):
+            o = offsets[lo : hi + 1]
+            yield of(data[o[0] : o[-1]], o - o[0])
+
+    return values
+
+
+def build_sketch(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, least: int = 2) -> Sketch:
+    """Merges the partitions' sketches of the values of batches, one block of cells in a task at a time.
+
+    With least 1 the bits say "one or more".
 
     A partition sends each block as the cells it has met (four bytes each) with those it met twice first.
     What reaches the driver is 2**(bits + 1) bits, whatever the input.
     """
-    spark = texts.sparkSession
+    spark = rows.sparkSession
     n_blocks = 1 << (bits + 1 - BLOCK_BITS)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,16 +66,13 @@ def build_sketch(texts: DataFrame, values: Callable[[np.ndarray, np.ndarray], np
         def flush() -> Iterator[pa.RecordBatch]:
             cells, count = np.unique(np.concatenate(held), return_counts=True)
             cut = np.searchsorted(cells >> np.uint32(BLOCK_BITS), np.arange(n_blocks + 1))
-            low, twice = cells & np.uint32((1 << BLOCK_BITS) - 1), count > 1
+            low, twice = cells & np.uint32((1 << BLOCK_BITS) - 1), count >= least
             rows = [(b, low[cut[b] : cut[b + 1]], twice[cut[b] : cut[b + 1]]) for b in np.flatnonzero(np.diff(cut))]
             blobs = [struct.pack("<I", int(t.sum())) + c[t].tobytes() + c[~t].tobytes() for _, c, t in rows]
             yield pa.RecordBatch.from_arrays([pa.array([int(r[0]) for r in rows], pa.int32()), pa.array(blobs, pa.binary())], names=["block", "cells"])
 
         for batch in batches:
-            data, offsets = buffers(batch["text"])
-            for lo, hi in chunks(offsets):
-                o = offsets[lo : hi + 1]
-                found = values(data[o[0] : o[-1]], o - o[0])
+            for found in values(batch):
                 held.extend(Sketch.cells(found, bits))
                 size += 2 * len(found)
                 if size > 8_000_000:
@@ -89,9 +100,9 @@ def build_sketch(texts: DataFrame, values: Callable[[np.ndarray, np.ndarray], np
         out[cells] = True
         return out
 
-    rows = texts.select("text").mapInArrow(local, "block int, cells binary").repartition(min(n_blocks, partitions(spark)), "block").mapInArrow(merge, "block int, cells binary").collect()
+    merged = rows.mapInArrow(local, "block int, cells binary").repartition(min(n_blocks, partitions(spark)), "block").mapInArrow(merge, "block int, cells binary").collect()
     table = np.zeros((n_blocks, 1 << (BLOCK_BITS - 3)), np.uint8)
-    for row in rows:
+    for row in merged:
         table[row.block] = np.frombuffer(row.cells, np.uint8)
     return Sketch(bits, table.ravel())
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.repeats import MARK, RECORDS, build_sketch, doc_bucket, marked, pack, runs, unpack, with_marks
+from quillspark.llm.repeats import MARK, RECORDS, build_sketch, doc_bucket, marked, pack, runs, text_values, unpack, with_marks
 from quillspark.llm.shared import partitions
 from quillspark.llm.text import NOT_SPACE, U, Rolling, Words, buffers, chunks, window_min
 
@@ -50,7 +50,7 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW, gram: int = GR
         doc = w.doc[at]
         return least[np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))[: len(least)]]
 
-    shared = spark.sparkContext.broadcast(build_sketch(source, keys, sketch_bits))
+    shared = spark.sparkContext.broadcast(build_sketch(source.select("text"), text_values(keys), sketch_bits))
     n = 4 * partitions(spark)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

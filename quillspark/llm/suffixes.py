@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.repeats import MARK, RECORDS, Sketch, build_sketch, doc_bucket, marked, pack, runs, with_marks
-from quillspark.llm.shared import partitions
+from quillspark.llm.repeats import MARK, RECORDS, Sketch, build_sketch, doc_bucket, marked, pack, runs, text_values, unpack, with_marks
+from quillspark.llm.shared import partitions, saved
 from quillspark.llm.text import SYMBOL, U, Rolling, buffers, chunks, window_min
 
 LENGTH, GRAM, SKETCH_BITS = 100, 32, 26
@@ -59,11 +60,12 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, gram: int = GR
     - rolling-hash triggers cut every document into overlapping phrases; equal strings have their trigger at the same
       offset, so equal passages parse alike except at their two ends;
     - a count-min sketch of the triggers drops phrases whose trigger occurs once: none of their strings repeats;
-    - the dictionary is owned by tasks by trigger. Of equal phrases (128 bits of hashes) the first in corpus order stays
-      and the others' strings go. A task first keeps only the first of the equal phrases it has met and resolves the
-      rest on the spot, so however frequent a phrase is, its owner gets it once per task;
-    - where a trigger has several phrases, the owner sorts the suffixes of these (their strings' bytes, exactly) into a
-      suffix array, with the parse's order among equals: of each run that shares `length` bytes the first stays.
+    - the parse is owned by tasks by trigger. Of equal phrases (128 bits of hashes) the first in corpus order stays and
+      the others' strings go. A task first keeps only the first of the equal phrases it has met and resolves the rest on
+      the spot, so however frequent a phrase is, its owner gets it once per task;
+    - triggers that have several phrases go out as a bitmap; their phrases' bytes are the dictionary. Its owners sort
+      the suffixes of a trigger's phrases (their strings' bytes, exactly) into a suffix array, in the parse's order among
+      equals: of each run that shares `length` bytes the first stays.
     Removed strings come back to the texts by doc_id. Bytes are judged on the input.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with_text, kept (bytes).
@@ -72,9 +74,37 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, gram: int = GR
     """
     spark = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketch = build_sketch(source, lambda data, offsets: _phrases(data, offsets, length, gram)[3], sketch_bits)
-    shared = spark.sparkContext.broadcast(sketch)
+    triggers = text_values(lambda data, offsets: _phrases(data, offsets, length, gram)[3])
     n = 4 * partitions(spark)
+    twice = spark.sparkContext.broadcast(build_sketch(source.select("text"), triggers, sketch_bits))
+    parsed = saved(_pass(source, twice, n, length, gram, False), "parse")
+    several = build_sketch(parsed.filter("bucket = -1").select("records"), lambda batch: iter(unpack(batch, np.dtype("<u8"))), sketch_bits, 1)
+    dictionary = _pass(source, spark.sparkContext.broadcast(several), n, length, gram, True)
+    marks = parsed.filter("bucket >= 0").unionByName(dictionary)
+
+    def finish(batch: pa.RecordBatch, by: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        data, offsets = buffers(batch["text"])
+        n_removed, n_spans, digests, kept = [], [], [], []
+        for i, doc in enumerate(batch["doc_id"].to_pylist()):
+            text, spans = data[offsets[i] : offsets[i + 1]], 0
+            if doc in by:
+                gone = marked(by[doc], length, len(text))
+                spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
+                n_removed.append(int(gone.sum()))
+                text = text[~gone]
+            else:
+                n_removed.append(0)
+            n_spans.append(spans)
+            digests.append(hashlib.sha256(text).hexdigest())
+            kept.append(text.tobytes() if with_text else None)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(offsets)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return with_marks(source, marks, n, finish, SCHEMA)
+
+
+def _pass(source: DataFrame, sketch: Broadcast, n: int, length: int, gram: int, with_bytes: bool) -> DataFrame:
+    """Marks of repeated strings by bucket of doc_id. Without bytes: later ones of equal phrases, and in bucket -1 the
+    triggers that have several phrases. With bytes: equal strings of a trigger's different phrases."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -83,50 +113,33 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, gram: int = GR
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for lo, hi in chunks(offsets):
                 o = offsets[lo : hi + 1]
-                found = _candidates(data[o[0] : o[-1]], o - o[0], ids[lo:hi], shared.value, length, gram)
-                held.append(found)
-                size += len(found[0])
+                held.append(_candidates(data[o[0] : o[-1]], o - o[0], ids[lo:hi], sketch.value, length, gram))
+                size += len(held[-1][0])
                 if size > FLUSH_BYTES:
-                    yield from _dictionary(held, n, length)
+                    yield from _dictionary(held, n, length, with_bytes)
                     held, size = [], 0
         if held:
-            yield from _dictionary(held, n, length)
+            yield from _dictionary(held, n, length, with_bytes)
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, texts = [], []
         for batch in batches:
-            for bucket, blob in zip(batch["bucket"].to_pylist(), batch["records"], strict=True):
+            for bucket, blob in zip(batch["bucket"].to_pylist(), batch["records"].to_pylist(), strict=True):
                 if bucket < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket], pa.int32()), pa.array([blob.as_py()], pa.binary())], names=["bucket", "records"])
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "records"])
                 else:
-                    raw = blob.as_py()
-                    k = struct.unpack("<I", raw[:4])[0]
-                    rows.append(np.frombuffer(raw, PHRASE, k, 4))
-                    texts.append(np.frombuffer(raw, np.uint8, offset=4 + k * PHRASE.itemsize))
-        if rows:
+                    k = struct.unpack("<I", blob[:4])[0]
+                    rows.append(np.frombuffer(blob, PHRASE, k, 4))
+                    texts.append(np.frombuffer(blob, np.uint8, offset=4 + k * PHRASE.itemsize))
+        if rows and with_bytes:
             gone = _repeated(np.concatenate(rows), np.concatenate(texts), length)
             yield from pack(doc_bucket(gone["doc"], n), gone)
+        elif rows:
+            gone, several = _later(np.concatenate(rows))
+            yield from pack(doc_bucket(gone["doc"], n), gone)
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([several.tobytes()], pa.binary())], names=["bucket", "records"])
 
-    marks = source.mapInArrow(parse, RECORDS).repartition(n, "bucket").mapInArrow(order, RECORDS)
-
-    def finish(batch: pa.RecordBatch, by: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        data, offsets = buffers(batch["text"])
-        n_removed, n_spans, digests, kept = [], [], [], []
-        for i, doc in enumerate(batch["doc_id"].to_pylist()):
-            text, spans = data[offsets[i] : offsets[i + 1]], 0
-            if doc in by:
-                gone = marked(by[doc], length, len(text))
-                spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                n_removed.append(int(gone.sum()))
-                text = text[~gone]
-            else:
-                n_removed.append(0)
-            n_spans.append(spans)
-            digests.append(hashlib.sha256(text).hexdigest())
-            kept.append(text.tobytes() if with_text else None)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(offsets)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return with_marks(source, marks, n, finish, SCHEMA)
+    return source.mapInArrow(parse, RECORDS).repartition(n, "bucket").mapInArrow(order, RECORDS)
 
 
 def _candidates(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, sketch: Sketch, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,32 +167,41 @@ def _as_marks(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dictionary(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, length: int) -> Iterator[pa.RecordBatch]:
-    """One row per bucket of triggers: phrases and their bytes; marks of the later copies, in buckets -1 - b."""
+def _dictionary(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, length: int, with_bytes: bool) -> Iterator[pa.RecordBatch]:
+    """One row per bucket of triggers: phrases (with their bytes); without bytes also marks of the later copies, in buckets -1 - b."""
     base = np.cumsum([0, *(len(d) for d, _, _ in held)])
-    data, rows = np.concatenate([d for d, _, _ in held]), np.concatenate([r for _, r, _ in held])
+    rows = np.concatenate([r for _, r, _ in held])
     start = np.concatenate([s + b for (_, _, s), b in zip(held, base[:-1], strict=True)])
     order, first = _first(rows)
-    later = _as_marks(rows[order[~first]])
-    for batch in pack(doc_bucket(later["doc"], n), later):
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - batch["bucket"].to_numpy()), batch["records"]], names=["bucket", "records"])
+    if not with_bytes:
+        later = _as_marks(rows[order[~first]])
+        for batch in pack(doc_bucket(later["doc"], n), later):
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - batch["bucket"].to_numpy()), batch["records"]], names=["bucket", "records"])
     rows, start = rows[order[first]], start[order[first]]
     bucket = (rows["trigger"] % U(n)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     rows, start, bucket = rows[order], start[order], bucket[order]
+    data = np.concatenate([d for d, _, _ in held]) if with_bytes else np.zeros(0, np.uint8)
     edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(rows))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        text = _gather(data, start[a:b], rows["n"][a:b].astype(np.int64) + length - 1)
-        blob = struct.pack("<I", b - a) + rows[a:b].tobytes() + text.tobytes()
+        text = _gather(data, start[a:b], rows["n"][a:b].astype(np.int64) + length - 1).tobytes() if with_bytes else b""
+        blob = struct.pack("<I", b - a) + rows[a:b].tobytes() + text
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "records"])
 
 
+def _later(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of all but the first of equal phrases, and the triggers that have several phrases."""
+    order, first = _first(rows)
+    trigger = rows["trigger"][order[first]]
+    return _as_marks(rows[order[~first]]), np.unique(trigger[1:][trigger[1:] == trigger[:-1]])
+
+
 def _repeated(rows: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
-    """Marks of all repeated strings of the phrases that a task owns."""
+    """Marks of the repeated strings of different phrases with one trigger."""
     size = rows["n"].astype(np.int64) + length - 1
     place = np.cumsum(size) - size
     order, first = _first(rows)
-    out = [_as_marks(rows[order[~first]])]
+    out = [np.empty(0, MARK)]
     rows, place = rows[order[first]], place[order[first]]
     many = np.append(rows["trigger"][1:] == rows["trigger"][:-1], False)
     many |= np.append(False, many[:-1])
