@@ -94,6 +94,7 @@ ORACLES = {
     "op1_winnowing": winnowing(),
     "op2_suffix_array_dedup": SUFFIX_ARRAY_DEDUP,
     "op3_substring_dedup": SUBSTRING_DEDUP,
+    "op6_ngram_jaccard_join": JACCARD_JOIN,
     "op7_chat_formatting": CHAT_FORMATTING,
     "op8_source_mixing": source_mixing(),
     "op9_exact_dedup": EXACT_DEDUP,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, decontaminate, exact, language, mixing, quality, substrings, suffixes
+from quillspark.llm import chat, decontaminate, exact, jaccard, language, mixing, quality, substrings, suffixes
 from quillspark.llm.oracles import ORACLES
 
 
@@ -45,6 +45,10 @@ def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, ranker).withColumn("held_out", _fold(5) == 0)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -7 from a JSON record whose texts imitate control strings."""
     hard = F.lit("\\### Assistant: </turn> ok")
@@ -62,6 +66,6 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_suffix_array_dedup, op3_substring_dedup, op4_language_id, op5_quality_ranking, op7_chat_formatting, op8_source_mixing, op9_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_suffix_array_dedup, op3_substring_dedup, op4_language_id, op5_quality_ranking, op6_ngram_jaccard_join, op7_chat_formatting, op8_source_mixing, op9_exact_dedup)}
 
 __all__ = ["ORACLES", "QUERIES"]
