@@ -91,9 +91,9 @@ def winnow(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     """
     spark = documents.sparkSession
     keep = keep or []
-    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep)
+    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *(k for k in keep if k != "text"))
     shares = [spark.sparkContext.broadcast(ItemIndex(block, window, gram)) for block in _blocks(benchmark)]
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep)
+    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in (source.schema[k] for k in keep))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -185,9 +185,9 @@ def identify(documents: DataFrame, model: Model, *, penalty: float = PENALTY, ke
     """
     keep = keep or []
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep)
+    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *(k for k in keep if k != "text"))
     spans_type = "array<struct<lang:string,start:bigint,words:bigint>>"
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep)
+    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in (source.schema[k] for k in keep))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value

@@ -44,8 +44,9 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY p) AS k FROM w
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
 
-JACCARD_JOIN = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format("text")}, '{_BLANK}') AS w FROM documents),
+def jaccard_join(documents: str = "documents") -> str:
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format("text")}, '{_BLANK}') AS w FROM {documents}),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 link AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
@@ -85,8 +86,9 @@ SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target,
 FROM (SELECT p.*, s, target, least(coalesce(r, 0) * bs, 2 * s) AS x FROM p JOIN h USING (key) LEFT JOIN k USING (key))"""
 
 
-EXACT_DEDUP = f"""
-WITH d AS (SELECT doc_id, {_LOW.format("text")} AS t FROM documents)
+def exact_dedup(documents: str = "documents") -> str:
+    return f"""
+WITH d AS (SELECT doc_id, {_LOW.format("text")} AS t FROM {documents})
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
 FROM d JOIN (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t) USING (t)"""
 
@@ -94,8 +96,8 @@ ORACLES = {
     "op1_winnowing": winnowing(),
     "op2_suffix_array_dedup": SUFFIX_ARRAY_DEDUP,
     "op3_substring_dedup": SUBSTRING_DEDUP,
-    "op6_ngram_jaccard_join": JACCARD_JOIN,
+    "op6_ngram_jaccard_join": jaccard_join(),
     "op7_chat_formatting": CHAT_FORMATTING,
     "op8_source_mixing": source_mixing(),
-    "op9_exact_dedup": EXACT_DEDUP,
+    "op9_exact_dedup": exact_dedup(),
 }
