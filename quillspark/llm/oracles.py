@@ -92,6 +92,17 @@ WITH d AS (SELECT doc_id, {_LOW.format("text")} AS t FROM {documents})
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
 FROM d JOIN (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t) USING (t)"""
 
+LINE_DEDUP = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
+t AS (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all({_LOW.format("line")}, '{_BLANK}'))) AS w FROM l),
+c AS (SELECT w, len(w) AS n, min((doc_id, i)) AS f, row_number() OVER () AS c FROM t WHERE len(w) > 0 GROUP BY w),
+u AS (SELECT c, n, f, unnest(w) AS k FROM c),
+p AS (SELECT y.c, count(*) AS o, any_value(x.n) AS xn, any_value(y.n) AS yn FROM u x JOIN u y ON x.k = y.k AND x.f < y.f AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n GROUP BY x.c, y.c),
+g AS (SELECT DISTINCT c FROM p WHERE 5 * o >= 4 * (xn + yn - o)),
+r AS (SELECT doc_id, i FROM t JOIN c USING (w) WHERE (doc_id, i) <> f OR c IN (SELECT c FROM g))
+SELECT d.doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(s, '') AS removed_lines
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS s FROM r GROUP BY doc_id) q USING (doc_id)"""
+
 ORACLES = {
     "op1_winnowing": winnowing(),
     "op2_suffix_array_dedup": SUFFIX_ARRAY_DEDUP,
@@ -100,4 +111,5 @@ ORACLES = {
     "op7_chat_formatting": CHAT_FORMATTING,
     "op8_source_mixing": source_mixing(),
     "op9_exact_dedup": exact_dedup(),
+    "op10_line_dedup": LINE_DEDUP,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, decontaminate, exact, jaccard, language, mixing, quality, substrings, suffixes
+from quillspark.llm import chat, decontaminate, exact, jaccard, language, lines, mixing, quality, substrings, suffixes
 from quillspark.llm.oracles import ORACLES
 
 
@@ -66,6 +66,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_suffix_array_dedup, op3_substring_dedup, op4_language_id, op5_quality_ranking, op6_ngram_jaccard_join, op7_chat_formatting, op8_source_mixing, op9_exact_dedup)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_suffix_array_dedup, op3_substring_dedup, op4_language_id, op5_quality_ranking, op6_ngram_jaccard_join, op7_chat_formatting, op8_source_mixing, op9_exact_dedup, op10_line_dedup)}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,9 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
     df.write.parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what has been written
     return spark.read.schema(schema).parquet(path)
 
 
