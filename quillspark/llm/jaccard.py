@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.repeats import Sketch, build_sketch, pack, unpack
+from quillspark.llm.repeats import build_sketch, pack, to_owners, unpack
 from quillspark.llm.shared import partitions, saved
 from quillspark.llm.text import NOT_SPACE, U, Rolling, Words, buffers, chunks, mix
 
@@ -94,7 +94,8 @@ def _levels(survey: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "bits"])
 
     spark = survey.sparkSession
-    rows = survey.filter("block IS NOT NULL").select("block", "bits").repartition(min(64, partitions(spark)), "block").mapInArrow(add, "block int, bits binary").collect()
+    tasks = min(1 << (COUNTER_BITS - COUNTER_BLOCK), partitions(spark))
+    rows = survey.filter("block IS NOT NULL").select("block", "bits").repartitionById(tasks, F.col("block") % tasks).mapInArrow(add, "block int, bits binary").collect()
     counts = np.zeros(1 << COUNTER_BITS, np.int64)
     for r in rows:
         counts[r.block << COUNTER_BLOCK : (r.block + 1) << COUNTER_BLOCK] = np.frombuffer(r.bits, np.int64)
@@ -126,7 +127,7 @@ def _postings(source: DataFrame, levels: Broadcast, n: int, num: int, den: int,
                 rows["token"], rows["doc"], rows["size"], rows["at"] = s.token[order][prefix], ids[lo:hi][doc[prefix]], size[prefix], place[prefix]
                 yield from pack((mix(rows["token"]) % U(buckets)).astype(np.int32), rows)
 
-    return source.mapInArrow(scan, "bucket int, records binary").repartition(buckets, "bucket")
+    return to_owners(source.mapInArrow(scan, "bucket int, records binary"), buckets)
 
 
 def _groups(postings: DataFrame, num: int, den: int) -> DataFrame:
@@ -434,7 +435,7 @@ def link(documents: DataFrame, *, shingle: int = SHINGLE, numerator: int = NUMER
     survey = saved(_survey(source, shingle), "sets")
     info = survey.filter("block IS NULL")
     levels = spark.sparkContext.broadcast(_levels(survey))
-    groups = saved(_groups(_postings(source, levels, shingle, numerator, denominator, 4 * partitions(spark)), numerator, denominator), "groups")
+    groups = saved(_groups(_postings(source, levels, shingle, numerator, denominator, partitions(spark)), numerator, denominator), "groups")
     survivors = saved(_survivors(groups, info, numerator, denominator), "survivors")
     members = saved(_with_sets(source, survivors, shingle), "members")
     equal = info.filter("size > 0").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1")

@@ -100,7 +100,8 @@ def build_sketch(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np
         out[cells] = True
         return out
 
-    merged = rows.mapInArrow(local, "block int, cells binary").repartition(min(n_blocks, partitions(spark)), "block").mapInArrow(merge, "block int, cells binary").collect()
+    tasks = min(n_blocks, partitions(spark))
+    merged = rows.mapInArrow(local, "block int, cells binary").repartitionById(tasks, F.col("block") % tasks).mapInArrow(merge, "block int, cells binary").collect()
     table = np.zeros((n_blocks, 1 << (BLOCK_BITS - 3)), np.uint8)
     for row in merged:
         table[row.block] = np.frombuffer(row.cells, np.uint8)
@@ -140,6 +141,11 @@ def pack(bucket: np.ndarray, records: np.ndarray, least: int = 1) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "records"])
 
 
+def to_owners(rows: DataFrame, n: int) -> DataFrame:
+    """Deals packed rows to the task of their bucket; -1 - b stands for bucket b, too."""
+    return rows.repartitionById(n, F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")))
+
+
 def unpack(batch: pa.RecordBatch, dtype: np.dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype) for x in batch["records"]]
 
@@ -176,7 +182,7 @@ def with_marks(documents: DataFrame, marks: DataFrame, n_buckets: int, finish: C
 
     left = documents.select("doc_id", "text").mapInArrow(bucketed, "bucket int, doc_id bigint, text string, records binary")
     right = marks.select("bucket", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), "records")
-    dealt = left.unionByName(right).repartition(n_buckets, "bucket").sortWithinPartitions(F.col("records").isNull())
+    dealt = left.unionByName(right).repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions(F.col("records").isNull())
     return dealt.mapInArrow(joined, schema)
 
 

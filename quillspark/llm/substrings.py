@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.repeats import MARK, RECORDS, build_sketch, doc_bucket, marked, pack, runs, text_values, unpack, with_marks
-from quillspark.llm.shared import partitions
+from quillspark.llm.repeats import MARK, RECORDS, build_sketch, doc_bucket, marked, pack, runs, text_values, to_owners, unpack, with_marks
+from quillspark.llm.shared import partitions, saved
 from quillspark.llm.text import NOT_SPACE, U, Rolling, Words, buffers, chunks, window_min
 
-WINDOW, GRAM, SKETCH_BITS = 13, 6, 26
+WINDOW, GRAM, SKETCH_BITS = 13, 6, 27
 FLUSH = 2_000_000
 SEEN = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string"
@@ -51,7 +51,7 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW, gram: int = GR
         return least[np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))[: len(least)]]
 
     shared = spark.sparkContext.broadcast(build_sketch(source.select("text"), text_values(keys), sketch_bits))
-    n = 4 * partitions(spark)
+    n = partitions(spark)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows that may repeat, the smallest document of each; and marks of the rest. Marks have bucket -1 - b."""
@@ -94,7 +94,7 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW, gram: int = GR
             later = runs(later)
             yield from pack(doc_bucket(later["doc"], n), later)
 
-    marks = source.mapInArrow(emit, RECORDS).repartition(n, "bucket").mapInArrow(group, RECORDS)
+    marks = saved(to_owners(source.mapInArrow(emit, RECORDS), n).mapInArrow(group, RECORDS), "marks")
 
     def finish(batch: pa.RecordBatch, by: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         n_words, n_removed, digests, texts = [], [], [], []

@@ -12,11 +12,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.repeats import MARK, RECORDS, Sketch, build_sketch, doc_bucket, marked, pack, runs, text_values, unpack, with_marks
+from quillspark.llm.repeats import MARK, RECORDS, Sketch, build_sketch, doc_bucket, marked, pack, runs, text_values, to_owners, unpack, with_marks
 from quillspark.llm.shared import partitions, saved
 from quillspark.llm.text import SYMBOL, U, Rolling, buffers, chunks, window_min
 
-LENGTH, GRAM, SKETCH_BITS = 100, 32, 26
+LENGTH, GRAM, SKETCH_BITS = 100, 32, 27
 FLUSH_BYTES = 24 << 20
 SORT_ROWS = 400_000
 PHRASE = np.dtype([("trigger", "<u8"), ("phrase", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
@@ -75,11 +75,11 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, gram: int = GR
     spark = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     triggers = text_values(lambda data, offsets: _phrases(data, offsets, length, gram)[3])
-    n = 4 * partitions(spark)
+    n = partitions(spark)
     twice = spark.sparkContext.broadcast(build_sketch(source.select("text"), triggers, sketch_bits))
     parsed = saved(_pass(source, twice, n, length, gram, False), "parse")
     several = build_sketch(parsed.filter("bucket = -1").select("records"), lambda batch: iter(unpack(batch, np.dtype("<u8"))), sketch_bits, 1)
-    dictionary = _pass(source, spark.sparkContext.broadcast(several), n, length, gram, True)
+    dictionary = saved(_pass(source, spark.sparkContext.broadcast(several), n, length, gram, True), "dictionary")
     marks = parsed.filter("bucket >= 0").unionByName(dictionary)
 
     def finish(batch: pa.RecordBatch, by: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def _pass(source: DataFrame, sketch: Broadcast, n: int, length: int, gram: int,
             yield from pack(doc_bucket(gone["doc"], n), gone)
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([several.tobytes()], pa.binary())], names=["bucket", "records"])
 
-    return source.mapInArrow(parse, RECORDS).repartition(n, "bucket").mapInArrow(order, RECORDS)
+    return to_owners(source.mapInArrow(parse, RECORDS), n).mapInArrow(order, RECORDS)
 
 
 def _candidates(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, sketch: Sketch, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
