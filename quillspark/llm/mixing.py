@@ -62,12 +62,18 @@ def _running(rows: DataFrame, bucket: str, order: list[str], value: Column) -> D
     return rows.withColumn("_in", inner).join(offsets, ["key", bucket]).withColumn("before", F.col("_off") + F.col("_in")).drop("_v", "_in", "_off")
 
 
+def _block(n_slots: int) -> Column:
+    """Words of a block: the mix's words by slots, rounded up."""
+    return F.greatest(F.lit(1), F.ceil(F.col("total") * 1.5 / n_slots)).cast("bigint")
+
+
 def slots(spark: SparkSession, shares: DataFrame, n_slots: int) -> DataFrame:
     """The schedule: slot, key and block (the slot's rank in its source). Slot k has the golden-ratio point k."""
     cell = 20
+    used = F.ceil(F.col("total") * 1.5 / _block(n_slots))
     points = spark.range(n_slots).select(F.col("id").alias("slot"), F.expr(f"(id * {GOLDEN}L) % {1 << 32}L").alias("point")).withColumn("cell", F.shiftright("point", cell))
-    ranges = shares.filter("hi > lo").select("key", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", cell), F.shiftright(F.col("hi") - 1, cell))).alias("cell"))
-    dealt = points.join(ranges, "cell").filter("point >= lo AND point < hi").select("slot", "key", F.shiftright("slot", 8).alias("part"))
+    ranges = shares.filter("hi > lo").select("key", "lo", "hi", used.alias("used"), F.explode(F.sequence(F.shiftright("lo", cell), F.shiftright(F.col("hi") - 1, cell))).alias("cell"))
+    dealt = points.join(ranges, "cell").filter("point >= lo AND point < hi AND slot < used").select("slot", "key", F.shiftright("slot", 8).alias("part"))
     return _running(dealt, "part", ["slot"], F.lit(1)).select("slot", "key", F.col("before").alias("block"))
 
 
@@ -76,14 +82,13 @@ def schedule(documents: DataFrame, *, n_slots: int = SLOTS, seed: str = "", weig
 
     The documents of a source are shuffled by a seeded hash and cut into blocks of equal tokens; a second pass through
     the source follows the first. The r-th slot of a source takes its block r. Blocks past MOST passes don't exist, so
-    no document is taken more often. Some 65,536 slots make up the mix at any scale: a block is their share of it.
+    no document is taken more often. At most n_slots slots make up the mix at any scale; small mixes have fewer, of one word each.
     """
     spark = documents.sparkSession
     sizes = saved(_sizes(documents), "mix-sizes")
     shares = saved(targets(sizes, weights), "mix-targets")
-    block = F.greatest(F.lit(1), F.ceil(F.col("total") * 1.5 / n_slots)).cast("bigint")
     shuffled = sizes.withColumn("order", F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))).withColumn("part", F.substring("order", 1, 3))
-    placed = _running(shuffled.filter("size > 0"), "part", ["order", "doc_id"], F.col("size")).join(shares, "key").withColumn("block_size", block)
+    placed = _running(shuffled.filter("size > 0"), "part", ["order", "doc_id"], F.col("size")).join(shares, "key").withColumn("block_size", _block(n_slots))
     passes = placed.withColumn("at", F.explode(F.transform(F.array(*map(F.lit, range(MOST))), lambda p: F.col("before") + p * F.col("source_size"))))
     spans = passes.withColumn("block", F.explode(F.sequence(F.expr("at div block_size"), F.expr("(at + size - 1) div block_size"))))
     begin, end = F.greatest("at", F.col("block") * F.col("block_size")), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("block_size"))

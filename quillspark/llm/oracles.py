@@ -79,7 +79,7 @@ u AS (SELECT *, sum(target) OVER (ORDER BY key) AS upto FROM t),
 h AS (SELECT *, CASE WHEN total > 0 THEN CAST(round((upto - target) / (1.5 * total) * 4294967296.0) AS BIGINT) ELSE 0 END AS lo,
   CASE WHEN total > 0 THEN CAST(round(upto / (1.5 * total) * 4294967296.0) AS BIGINT) ELSE 0 END AS hi,
   CAST(greatest(1, ceil(total * 1.5 / {slots})) AS BIGINT) AS bs FROM u),
-k AS (SELECT key, count(*) AS r FROM (SELECT (i * 2654435769) % 4294967296 AS p FROM range({slots}) x(i)) JOIN h ON p >= lo AND p < hi GROUP BY key),
+k AS (SELECT key, count(*) AS r FROM (SELECT i, (i * 2654435769) % 4294967296 AS p FROM range({slots}) x(i)) JOIN h ON p >= lo AND p < hi AND i < ceil(total * 1.5 / bs) GROUP BY key),
 p AS (SELECT d.*, sum(size) OVER (PARTITION BY key ORDER BY md5(':' || doc_id), doc_id) - size AS a FROM d)
 SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target,
   CAST(least(size, greatest(0, x - a)) + least(size, greatest(0, x - s - a)) AS BIGINT) AS taken
