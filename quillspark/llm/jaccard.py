@@ -18,7 +18,7 @@ SHINGLE, NUMERATOR, DENOMINATOR = 4, 85, 100
 COUNTER_BITS, COUNTER_BLOCK = 20, 14
 DOC_BITS = 25
 BLOCK = 2048
-"""Members of a candidate group that one task compares; larger groups are split into blocks."""
+"""Members of a candidate group or cluster that one task compares; larger ones are split into blocks."""
 POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("size", "<i4"), ("at", "<i4")])
 
 
@@ -182,7 +182,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
 
 
 def _survivors(groups: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """(hub, doc, n) of documents that may link with another of their group, by a bound from sizes and parities.
+    """(hub, doc): documents that may link with another of their group, by a bound from sizes and parities, and one of them.
 
     Two sets differ in at least as many elements as their parities. Groups of more than BLOCK go on whole.
     """
@@ -190,7 +190,7 @@ def _survivors(groups: DataFrame, info: DataFrame, num: int, den: int) -> DataFr
     rows = groups.filter(F.col("n") <= BLOCK).join(info.select(F.col("doc_id").alias("doc"), "size", "bits"), "doc").select("hub", "doc", "n", "size", "bits")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hubs, docs, sizes = [], [], []
+        hubs, docs = [], []
         for group in _runs(batches, ["hub"]):
             items = sorted((s, d, int.from_bytes(b, "little"), 8 * len(b)) for s, d, b in zip(group["size"].to_pylist(), group["doc"].to_pylist(), group["bits"].to_pylist(), strict=True))
             alive = [False] * len(items)
@@ -206,38 +206,55 @@ def _survivors(groups: DataFrame, info: DataFrame, num: int, den: int) -> DataFr
                         y = (y ^ (y >> v)) & ((1 << v) - 1)
                     if (x ^ y).bit_count() <= s + t - 2 * needed(s + t, num, den):
                         alive[i] = alive[j] = True
-            for (_, d, _, _), ok in zip(items, alive, strict=True):
-                if ok:
-                    hubs.append(group["hub"][0].as_py())
-                    docs.append(d)
-                    sizes.append(sum(alive))
-        yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(docs, pa.int64()), pa.array(sizes, pa.int64())], names=["hub", "doc", "n"])
+            kept = [d for (_, d, _, _), ok in zip(items, alive, strict=True) if ok]
+            docs += kept
+            hubs += kept[:1] * len(kept)
+        yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(docs, pa.int64())], names=["hub", "doc"])
 
-    small = rows.repartition(n, "hub").sortWithinPartitions("hub").mapInArrow(test, "hub bigint, doc bigint, n bigint")
-    return small.unionByName(groups.filter(F.col("n") > BLOCK))
+    small = rows.repartition(n, "hub").sortWithinPartitions("hub").mapInArrow(test, "hub bigint, doc bigint")
+    return small.unionByName(groups.filter(F.col("n") > BLOCK).select("hub", "doc"))
 
 
-def _with_sets(source: DataFrame, survivors: DataFrame, n: int) -> DataFrame:
-    """hub, doc, n, block and set (sorted tokens) of the survivors; only their documents are read out."""
+def _clusters(survivors: DataFrame) -> DataFrame:
+    """doc, hub and n: documents that candidates connect form a cluster, so each is compared in one place.
+
+    The hub is the document that is one most often.
+    """
+    found = components(survivors.select(F.col("hub").alias("a"), F.col("doc").alias("b"))).withColumnRenamed("node", "doc")
+    often = survivors.groupBy("hub").agg(F.count("*").alias("c")).join(found.withColumnRenamed("doc", "hub"), "hub")
+    hubs = often.groupBy("component").agg(F.max(F.struct("c", "hub"))["hub"].alias("hub"))
+    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
+    return found.join(hubs, "component").join(sizes, "component").select("doc", "hub", "n")
+
+
+def _members(source: DataFrame, clusters: DataFrame) -> DataFrame:
+    """hub, block, doc, n and text of the clusters' documents; only these are shuffled (by a bitmap of fixed size)."""
     spark = source.sparkSession
 
     def ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield mix(np.unique(batch["doc"].to_numpy(zero_copy_only=False)).view(U))
 
-    wanted = spark.sparkContext.broadcast(build_sketch(survivors.select("doc"), ids, DOC_BITS, 1))
+    wanted = spark.sparkContext.broadcast(build_sketch(clusters.select("doc"), ids, DOC_BITS, 1))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch["doc_id"].to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(wanted.value.maybe_repeated(mix(doc.astype(np.int64).view(U)))))
-            for lo, hi, s in _sets(batch, n):
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array([s.token[f : f + k].tobytes() for f, k in zip(s.first, s.size, strict=True)], pa.binary())], names=["doc", "tokens"])
+            yield batch.filter(pa.array(wanted.value.maybe_repeated(mix(doc.astype(np.int64).view(U)))))
 
-    sets = source.mapInArrow(scan, "doc bigint, tokens binary").dropDuplicates(["doc"])
+    texts = source.mapInArrow(scan, "doc_id bigint, text string").withColumnRenamed("doc_id", "doc")
     last = (F.ceil(F.col("n") / BLOCK) - 1).cast("int")
     own = F.pmod(F.xxhash64("doc"), last + 1).cast("int")
     blocks = F.when(F.col("doc") == F.col("hub"), F.sequence(F.lit(0), last)).otherwise(F.array(own))  # the hub is in all
-    return survivors.withColumn("block", F.explode(blocks)).join(sets, "doc").select("hub", "block", "doc", "n", "tokens")
+    return clusters.join(texts, "doc").withColumn("block", F.explode(blocks)).select("hub", "block", "doc", "n", "text")
+
+
+def _read(group: pa.Table, n: int) -> tuple[list[int], list[np.ndarray], list[int]]:
+    """Documents, sets and row numbers of a group; a repeated doc_id counts once."""
+    rows = list({d: i for i, d in reversed(list(enumerate(group["doc"].to_pylist())))}.values())[::-1]
+    group = group.take(rows)
+    data, offsets = buffers(group["text"])
+    s = Sets(data, offsets, n)
+    return group["doc"].to_pylist(), [s.token[f : f + k] for f, k in zip(s.first, s.size, strict=True)], rows
 
 
 class Block:
@@ -336,56 +353,57 @@ def _connect(block: Block, start: int) -> tuple[list[tuple[int, int]], Forest]:
                 ask(i)
 
 
-def _links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) that connect what the links of all groups connect."""
-    n = 2 * partitions(members.sparkSession)
-    schema = "kind int, hub bigint, a bigint, b bigint, n bigint"
-    names = ["kind", "hub", "a", "b", "n"]
+def _links(source: DataFrame, clusters: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) that connect what the links of all clusters connect."""
+    n = 2 * partitions(source.sparkSession)
+    schema = "kind int, hub bigint, a bigint, b bigint"
+    names = ["kind", "hub", "a", "b"]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=names)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0: edges; kind 1: members of a split group that their block doesn't connect with the hub."""
+        """Kind 0: edges; kind 1: members of a split cluster that their block doesn't connect with the hub."""
         out: list[tuple] = []
         for group in _runs(batches, ["hub", "block"]):
             hub, total = group["hub"][0].as_py(), group["n"][0].as_py()
-            block = Block(group["doc"].to_pylist(), [np.frombuffer(x, U) for x in group["tokens"].to_pylist()], num, den)
-            start = block.docs.index(hub) if hub in block.docs else block.n // 2
+            docs, sets, _ = _read(group, shingle)
+            block = Block(docs, sets, num, den)
+            start = block.docs.index(hub)
             edges, forest = _connect(block, start)
-            out.extend((0, hub, a, b, total) for a, b in edges)
+            out.extend((0, hub, a, b) for a, b in edges)
             if total > BLOCK:
-                out.extend((1, hub, d, None, total) for i, d in enumerate(block.docs) if forest.root(i) != forest.root(start))
+                out.extend((1, hub, d, None) for i, d in enumerate(block.docs) if forest.root(i) != forest.root(start))
             if len(out) > 10_000:
                 yield batch_of(out)
                 out = []
         yield batch_of(out)
 
-    dealt = members.repartition(n, "hub", "block").sortWithinPartitions("hub", "block")
-    first = saved(dealt.mapInArrow(within, schema), "links")
+    members = _members(source, clusters)
+    first = saved(members.repartition(n, "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(within, schema), "links")
     edges = first.filter("kind = 0").select("a", "b")
-    loose = first.filter("kind = 1")
+    loose = saved(first.filter("kind = 1").select("hub", F.col("a").alias("doc")), "loose")
     if loose.isEmpty():
         return edges
-    # What a block doesn't connect with the hub, which is in all blocks of a split group, meets the other blocks.
-    sets = members.filter(F.col("n") > BLOCK)
-    copies = loose.select("hub", F.col("a").alias("doc")).join(sets.select("hub", "doc", "block", "n", "tokens"), ["hub", "doc"])
-    copies = copies.withColumn("to", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / BLOCK) - 1).cast("int")))).filter("to <> block")
-    asked = copies.select("hub", F.col("to").alias("block"), "doc", "n", "tokens", F.lit(1).alias("guest"))
-    across = sets.select("hub", "block", "doc", "n", "tokens", F.lit(0).alias("guest")).unionByName(asked)
+    # What a block doesn't connect with the hub, which is in all blocks of a split cluster, meets the other blocks.
+    large = saved(_members(source, clusters.join(loose.select("hub").distinct(), "hub", "left_semi").select("doc", "hub", "n")), "large")
+    copies = large.join(loose, ["hub", "doc"], "left_semi").withColumn("to", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / BLOCK) - 1).cast("int")))).filter("to <> block")
+    guests = copies.select("hub", F.col("to").alias("block"), "doc", "n", "text", F.lit(1).alias("guest"))
+    across = large.withColumn("guest", F.lit(0)).unionByName(guests)
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for group in _runs(batches, ["hub", "block"]):
             hub = group["hub"][0].as_py()
-            rows = list(zip(group["doc"].to_pylist(), group["tokens"].to_pylist(), group["guest"].to_pylist(), strict=True))
-            block = Block([d for d, _, _ in rows], [np.frombuffer(x, U) for _, x, _ in rows], num, den)
-            guests = {d for d, _, g in rows if g}
+            docs, sets, rows = _read(group, shingle)
+            flags = group["guest"].to_pylist()
+            asked = {d for d, i in zip(docs, rows, strict=True) if flags[i]}
+            block = Block(docs, sets, num, den)
             forest = Forest(block.n)
             for i, d in enumerate(block.docs):
-                if d in guests:
-                    out.extend((0, hub, d, block.docs[j], 0) for j in block.links(block.tokens[i], int(block.size[i])).tolist() if forest.join(i, j))
+                if d in asked:
+                    out.extend((0, hub, d, block.docs[j]) for j in block.links(block.tokens[i], int(block.size[i])).tolist() if forest.join(i, j))
         yield batch_of(out)
 
     more = across.repartition(n, "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(between, schema)
@@ -423,12 +441,13 @@ def link(documents: DataFrame, *, shingle: int = SHINGLE, numerator: int = NUMER
     - Sets are ordered by rarity (merged counters), their prefixes go to the owners of their tokens. Linked sets share
       a prefix token; the least document of a token's list is its hub, and documents that meet in a list meet in its
       hub's group. A group is as long as its lists: pairs are never written out.
-    - A bound from parities of the sets leaves only documents that may link with another of the group; only those sets
-      are read out again. Groups are compared in blocks of index lists by size: lists are skipped to fitting sizes, and
-      counts of a set are derived from those of the similar set before it. Only sets outside the largest tree of a block
-      are asked for, as a link inside a tree adds nothing to components; every link between different trees is found.
-    - Groups of more than BLOCK members are dealt to several tasks by blocks, the hub to each. Members that their block
-      doesn't connect with the hub then meet the group's other blocks; the rest is connected through the hub.
+    - A bound from parities of the sets leaves only documents that may link with another of the group. What candidates
+      connect is a cluster; only its texts move, each to one place. Clusters are compared in blocks of index lists by
+      size: lists are skipped to fitting sizes, and counts of a set are derived from those of the similar set before it.
+      Only sets outside the largest tree of a block are asked for, as a link inside a tree adds nothing to components;
+      every link between different trees is found.
+    - Clusters of more than BLOCK members are dealt to several tasks by blocks, the hub to each. Members that their block
+      doesn't connect with the hub then meet the cluster's other blocks; the rest is connected through the hub.
     """
     spark = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -437,9 +456,9 @@ def link(documents: DataFrame, *, shingle: int = SHINGLE, numerator: int = NUMER
     levels = spark.sparkContext.broadcast(_levels(survey))
     groups = saved(_groups(_postings(source, levels, shingle, numerator, denominator, partitions(spark)), numerator, denominator), "groups")
     survivors = saved(_survivors(groups, info, numerator, denominator), "survivors")
-    members = saved(_with_sets(source, survivors, shingle), "members")
+    clusters = saved(_clusters(survivors), "clusters")
     equal = info.filter("size > 0").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1")
     stars = info.join(equal, ["s1", "s2", "size"]).select(F.col("doc_id").alias("a"), "b")
-    found = components(_links(members, numerator, denominator).unionByName(stars))
+    found = components(_links(source, clusters, shingle, numerator, denominator).unionByName(stars))
     rows = info.select("doc_id", F.col("size").cast("bigint").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
