@@ -94,7 +94,7 @@ FROM d JOIN (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GRO
 
 LINE_DEDUP = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
-t AS (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all({_LOW.format("line")}, '{_BLANK}'))) AS w FROM l),
+t AS (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all(line, '{_BLANK}'))) AS w FROM l),
 c AS (SELECT w, len(w) AS n, min((doc_id, i)) AS f, row_number() OVER () AS c FROM t WHERE len(w) > 0 GROUP BY w),
 u AS (SELECT c, n, f, unnest(w) AS k FROM c),
 p AS (SELECT y.c, count(*) AS o, any_value(x.n) AS xn, any_value(y.n) AS yn FROM u x JOIN u y ON x.k = y.k AND x.f < y.f AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n GROUP BY x.c, y.c),

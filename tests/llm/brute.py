@@ -120,7 +120,7 @@ def components(docs, n=4, num=85, den=100):
 def removed_lines(docs, num=4, den=5):
     lines = []
     for d, text in sorted(docs):
-        lines += [(d, i, set(BLANK.findall(raw(x).translate(UPPER)))) for i, x in enumerate((text or "").split("\n"))]
+        lines += [(d, i, set(BLANK.findall(raw(x)))) for i, x in enumerate((text or "").split("\n"))]
     gone = defaultdict(list)
     for k, (d, i, s) in enumerate(lines):
         if s and any(t and den * len(s & t) >= num * len(s | t) for _, _, t in lines[:k]):
