@@ -378,13 +378,13 @@ def family_drift(spark: SparkSession, d: str) -> DataFrame:
 
 # --- collapsed panels ------------------------------------------------------------------------------------------------
 
-SQL_SEC = "SELECT l_suppkey AS permco, l_linenumber AS permno, year(l_shipdate) * 12 + month(l_shipdate) AS t, year(l_shipdate) AS y, sum(l_extendedprice) AS cap, avg(l_discount) - 0.05 AS ret, count(*) AS papers FROM lineitem GROUP BY ALL"
+SQL_SEC = "SELECT l_suppkey AS permco, l_linenumber AS permno, year(l_shipdate) * 12 + month(l_shipdate) AS t, year(l_shipdate) AS y, sum(l_extendedprice) AS cap, avg(l_discount) - 0.0437 AS ret, count(*) AS papers FROM lineitem GROUP BY ALL"
 SQL_MULTI = f"SELECT permco, t, y, arg_max(ret, (cap, -permno)) AS ret, CAST(sum(papers) AS BIGINT) AS papers, count(*) AS n_securities FROM ({SQL_SEC}) GROUP BY ALL"
 
 
 def securities(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("permco"), F.col("l_linenumber").alias("permno"), dt.month_index(F.col("l_shipdate")).alias("t"), F.year("l_shipdate").cast("bigint").alias("y")).agg(F.sum("l_extendedprice").alias("cap"), (F.avg("l_discount") - 0.05).alias("ret"), F.count("*").alias("papers"))
+    return li.groupBy(F.col("l_suppkey").alias("permco"), F.col("l_linenumber").alias("permno"), dt.month_index(F.col("l_shipdate")).alias("t"), F.year("l_shipdate").cast("bigint").alias("y")).agg(F.sum("l_extendedprice").alias("cap"), (F.avg("l_discount") - 0.0437).alias("ret"), F.count("*").alias("papers"))
 
 
 def firm_months(spark: SparkSession, d: str) -> DataFrame:

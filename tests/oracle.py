@@ -18,7 +18,7 @@ def connect(sf):
 def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
-    return float(f"{v:.7g}") if isinstance(v, float) else v
+    return float(f"{v:.7g}") + 0.0 if isinstance(v, float) else v
 
 
 def rows(names, found):
