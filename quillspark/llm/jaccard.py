@@ -182,7 +182,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
 
 
 def _survivors(groups: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """(hub, doc): documents that may link with another of their group, by a bound from sizes and parities, and one of them.
+    """Pairs (hub, doc) that may link, by a bound from sizes and parities, as far as they connect more of a group.
 
     Two sets differ in at least as many elements as their parities. Groups of more than BLOCK go on whole.
     """
@@ -193,22 +193,21 @@ def _survivors(groups: DataFrame, info: DataFrame, num: int, den: int) -> DataFr
         hubs, docs = [], []
         for group in _runs(batches, ["hub"]):
             items = sorted((s, d, int.from_bytes(b, "little"), 8 * len(b)) for s, d, b in zip(group["size"].to_pylist(), group["doc"].to_pylist(), group["bits"].to_pylist(), strict=True))
-            alive = [False] * len(items)
-            for i, (s, _, x, w) in enumerate(items):
+            forest = Forest(len(items))
+            for i, (s, a, x, w) in enumerate(items):
                 for j in range(i + 1, len(items)):
-                    t, _, y, v = items[j]
+                    t, b, y, v = items[j]
                     if num * t > den * s:
                         break
-                    if alive[i] and alive[j]:
+                    if forest.root(i) == forest.root(j):
                         continue
                     while v > w:
                         v >>= 1
                         y = (y ^ (y >> v)) & ((1 << v) - 1)
                     if (x ^ y).bit_count() <= s + t - 2 * needed(s + t, num, den):
-                        alive[i] = alive[j] = True
-            kept = [d for (_, d, _, _), ok in zip(items, alive, strict=True) if ok]
-            docs += kept
-            hubs += kept[:1] * len(kept)
+                        forest.join(i, j)
+                        hubs.append(a)
+                        docs.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(docs, pa.int64())], names=["hub", "doc"])
 
     small = rows.repartition(n, "hub").sortWithinPartitions("hub").mapInArrow(test, "hub bigint, doc bigint")
@@ -218,10 +217,11 @@ def _survivors(groups: DataFrame, info: DataFrame, num: int, den: int) -> DataFr
 def _clusters(survivors: DataFrame) -> DataFrame:
     """doc, hub and n: documents that candidates connect form a cluster, so each is compared in one place.
 
-    The hub is the document that is one most often.
+    The hub is the document with most pairs.
     """
     found = components(survivors.select(F.col("hub").alias("a"), F.col("doc").alias("b"))).withColumnRenamed("node", "doc")
-    often = survivors.groupBy("hub").agg(F.count("*").alias("c")).join(found.withColumnRenamed("doc", "hub"), "hub")
+    ends = survivors.select(F.explode(F.array("hub", "doc")).alias("hub"))
+    often = ends.groupBy("hub").agg(F.count("*").alias("c")).join(found.withColumnRenamed("doc", "hub"), "hub")
     hubs = often.groupBy("component").agg(F.max(F.struct("c", "hub"))["hub"].alias("hub"))
     sizes = found.groupBy("component").agg(F.count("*").alias("n"))
     return found.join(hubs, "component").join(sizes, "component").select("doc", "hub", "n")
@@ -252,9 +252,11 @@ def _read(group: pa.Table, n: int) -> tuple[list[int], list[np.ndarray], list[in
     """Documents, sets and row numbers of a group; a repeated doc_id counts once."""
     rows = list({d: i for i, d in reversed(list(enumerate(group["doc"].to_pylist())))}.values())[::-1]
     group = group.take(rows)
-    data, offsets = buffers(group["text"])
-    s = Sets(data, offsets, n)
-    return group["doc"].to_pylist(), [s.token[f : f + k] for f, k in zip(s.first, s.size, strict=True)], rows
+    sets: list[np.ndarray] = []
+    for batch in group.select(["text"]).combine_chunks().to_batches():
+        for _, _, s in _sets(batch, n):
+            sets += [s.token[f : f + k].copy() for f, k in zip(s.first, s.size, strict=True)]
+    return group["doc"].to_pylist(), sets, rows
 
 
 class Block:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
