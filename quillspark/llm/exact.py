@@ -69,7 +69,6 @@ def exact_groups(documents: DataFrame, *, capacity: int = CAPACITY, max_depth: i
 
 def drop_copies(documents: DataFrame, **options: int) -> DataFrame:
     """The documents that stay, with the columns of documents; a repeated row (same doc_id and text) stays once."""
-    index = build_index(documents, **options).select(F.col("keep_id"), F.col("text_sha256").alias("_sha"))
+    index = build_index(documents, **options).select(F.col("keep_id").alias("doc_id"), F.col("text_sha256").alias("_sha"))
     hashed = documents.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    stays = hashed.join(index, (F.col("doc_id") == F.col("keep_id")) & (hashed["_sha"] == index["_sha"]), "left_semi")
-    return stays.dropDuplicates(["doc_id", "_sha"]).select(*documents.columns)
+    return hashed.join(index, ["doc_id", "_sha"], "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*documents.columns)

@@ -209,7 +209,7 @@ def identify(documents: DataFrame, model: Model, *, penalty: float = PENALTY, ke
                 doc = np.repeat(np.arange(n), counts)
                 has = script > 0
                 votes = np.bincount(doc[has] * n_langs + labels[has], minlength=n * n_langs).reshape(n, n_langs)
-                sums = np.stack([np.bincount(doc, score[:, i], n) for i in range(n_langs)], 1)
+                sums = np.stack([np.bincount(doc, score[:, i], n).astype(float) for i in range(n_langs)], 1)
                 sums[:, m.first] += 1e-9
                 top = np.lexsort((sums, votes), 1)[:, -1]
                 total = votes.sum(1)
