@@ -13,13 +13,21 @@ from quillspark.llm.shared import saved
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _carried(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its further columns under names that no operator uses, and the way back."""
+    names = {c: f"_carried{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    back = [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+    return docs.withColumnsRenamed(names), lambda df: df.select(*back)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; texts that are null or have no letter go."""
     model = language.fit(docs)
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = language.identify(docs, model, keep=[c for c in docs.columns if c != "doc_id"])
-    return found.filter(F.col("lang_pred") != "und").select(*docs.columns)
+    renamed, back = _carried(docs)
+    found = language.identify(renamed, model, keep=[c for c in renamed.columns if c != "doc_id"])
+    return back(found.filter(F.col("lang_pred") != "und"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +44,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by benchmark items."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.winnow(docs, benchmark, keep=[c for c in docs.columns if c != "doc_id"])
-    return found.filter(~F.col("contaminated")).select(*docs.columns)
+    renamed, back = _carried(docs)
+    found = decontaminate.winnow(renamed, benchmark, keep=[c for c in renamed.columns if c != "doc_id"])
+    return back(found.filter(~F.col("contaminated")))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
