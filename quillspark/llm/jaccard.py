@@ -14,7 +14,7 @@ from quillspark.llm.repeats import build_sketch, pack, to_owners, unpack
 from quillspark.llm.shared import partitions, saved
 from quillspark.llm.text import NOT_SPACE, U, Rolling, Words, buffers, chunks, mix
 
-SHINGLE, NUMERATOR, DENOMINATOR = 4, 85, 100
+SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 COUNTER_BITS, COUNTER_BLOCK = 20, 14
 DOC_BITS = 25
 BLOCK = 2048

@@ -44,12 +44,12 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY p) AS k FROM w
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
 
-def jaccard_join(documents: str = "documents") -> str:
+def jaccard_join(documents: str = "documents", shingle: int = 5, percent: int = 80) -> str:
     return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format("text")}, '{_BLANK}') AS w FROM {documents}),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {shingle - 1}], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {shingle - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-link AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+link AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= {percent} * (p.n + q.n - c)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
 
@@ -107,7 +107,7 @@ ORACLES = {
     "op1_winnowing": winnowing(),
     "op2_suffix_array_dedup": SUFFIX_ARRAY_DEDUP,
     "op3_substring_dedup": SUBSTRING_DEDUP,
-    "op6_ngram_jaccard_join": jaccard_join(),
+    "op6_ngram_jaccard_join": jaccard_join(shingle=4, percent=85),
     "op7_chat_formatting": CHAT_FORMATTING,
     "op8_source_mixing": source_mixing(),
     "op9_exact_dedup": exact_dedup(),

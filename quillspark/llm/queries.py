@@ -46,7 +46,7 @@ def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link(_table(spark, sf_dir, "documents"))
+    return jaccard.link(_table(spark, sf_dir, "documents"), shingle=4, numerator=85)
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

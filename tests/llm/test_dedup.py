@@ -53,8 +53,10 @@ def test_full_sketch_loses_nothing(spark, docs):
 
 
 def test_jaccard_join(spark, docs):
-    found = jaccard.link(brute.frame(spark, docs)).collect()
+    found = jaccard.link(brute.frame(spark, docs), shingle=4, numerator=85).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.components(docs)
+    found = jaccard.link(brute.frame(spark, docs)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.components(docs, 5, 80)
     assert jaccard.link(spark.createDataFrame([], EMPTY)).count() == 0
 
 
@@ -71,7 +73,7 @@ def test_jaccard_join_of_large_groups(spark, monkeypatch, block):
         rows.append((100 - i, " ".join(w)))
     rows += [(200 + i, " ".join(words[: 60 + i])) for i in range(0, 40, 3)]
     rows += [(300, rows[3][1].upper()), (301, None), (302, "")]
-    found = jaccard.link(spark.createDataFrame(rows, EMPTY).repartition(4), numerator=70, denominator=100).collect()
+    found = jaccard.link(spark.createDataFrame(rows, EMPTY).repartition(4), shingle=4, numerator=70).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.components(rows, num=70)
 
 
