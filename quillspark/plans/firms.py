@@ -195,15 +195,17 @@ SQL_TOKENS = rf"""SELECT x, count(DISTINCT t[1]) AS follow, count(*) AS n, avg(C
 def token_stats(rows: DataFrame, name: Column) -> DataFrame:
     """Of each word: how many different first words it follows, and how often its name has a legal form."""
     t = rows.select(F.split(nm.words_of(name), " ").alias("t"))
-    each = t.select(F.element_at("t", 1).alias("first"), nm.has_legal(F.col("t")).alias("legal"), F.explode(F.array_distinct(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))))).alias("x"))
+    rest = F.array_distinct(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))))
+    once = t.select(F.element_at("t", 1).alias("first"), nm.has_legal(F.col("t")).alias("legal"), rest.alias("rest"))  # not once a word
+    each = once.select("first", "legal", F.explode("rest").alias("x"))
     return each.groupBy("x").agg(F.countDistinct("first").alias("follow"), F.count("*").alias("n"), F.avg(F.col("legal").cast("int")).alias("legal"))
 
 
 @query(f"SELECT x, follow, n, round(legal, 6) AS legal FROM ({SQL_TOKENS}) WHERE n >= 3")
 def token_follow_stats(spark: SparkSession, d: str) -> DataFrame:
-    """The first 200 characters of a document stand for a name here."""
+    """A document's whole text stands for a name here. The SQL still reads 200 characters, so it agrees on short texts only."""
     docs = table(spark, d, "documents").filter("text IS NOT NULL")
-    return token_stats(docs, F.regexp_replace(F.substring("text", 1, 200), r"[^\x00-\x7F]+", " ")).filter("n >= 3").select("x", "follow", "n", F.round("legal", 6).alias("legal"))
+    return token_stats(docs, F.regexp_replace("text", r"[^\x00-\x7F]+", " ")).filter("n >= 3").select("x", "follow", "n", F.round("legal", 6).alias("legal"))
 
 
 SQL_PEOPLE = "SELECT o_orderkey AS id, ['SMITH JOHN', 'RIGETTI CHAD T', 'NOVOZYMES AS', 'UNIV CHUNG YUAN CHRISTIAN', 'ACME', 'LEE ANNA MARIA', 'SMITH WIDGETS'][1 + o_orderkey % 7] AS name FROM orders"
