@@ -21,7 +21,7 @@ _NAMES = "SELECT o_orderkey, unnest([p_brand || ' INC', p_type || ' ' || p_brand
 
 
 def assignments(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").filter("o_orderkey % 7 = 0").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.select("o_orderkey", F.year("o_orderdate").cast("bigint").alias("y"), F.explode(F.array(F.concat("p_brand", F.lit(" INC")), F.concat_ws(" ", "p_type", "p_brand"))).alias("assignee"))
 
 
@@ -36,7 +36,7 @@ def assignee_dictionary(spark: SparkSession, d: str) -> DataFrame:
   SELECT id, title, array_to_string(list_sort(list_distinct(codes)), ';') AS codes, array_to_string(list_sort(list_distinct(list_filter(names, lambda x: x IN ('Brand#1', 'Brand#2', 'Brand#3')))), '|') AS matched FROM p WHERE len(list_filter(names, lambda x: x IN ('Brand#1', 'Brand#2', 'Brand#3'))) > 0""")
 def publication_extract(spark: SparkSession, d: str) -> DataFrame:
     """Publications with any wanted assignee: a title, sorted distinct codes and matched names, packed."""
-    rows = table(spark, d, "lineitem").filter("l_orderkey % 5 = 0").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     p = rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("p_brand").alias("names"), F.collect_set(F.concat_ws("/", "p_type", F.col("p_size").cast("string"))).alias("codes"), F.min(F.when(F.col("p_size") > 10, F.col("p_name"))).alias("title"))
     wanted = lambda x: x.isin("Brand#1", "Brand#2", "Brand#3")
     return p.filter(F.exists("names", wanted)).select("id", "title", F.array_join(F.array_sort("codes"), ";").alias("codes"), F.array_join(F.array_sort(F.filter("names", wanted)), "|").alias("matched"))

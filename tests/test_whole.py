@@ -6,7 +6,9 @@ from collections import defaultdict
 import pytest
 
 from quillspark.functions import lexicon as lx
-from quillspark.plans import all_queries
+from quillspark.plans import all_oracles, all_queries
+from tests.conftest import SF
+from tests.oracle import connect, same
 
 
 @pytest.fixture
@@ -33,3 +35,22 @@ def test_tokens_of_whole_texts(run):
     want = {x: (len(first[x]), len(f), pytest.approx(sum(f) / len(f), abs=1e-6)) for x, f in legal.items() if len(f) >= 3}
     assert want["DEEP"][:2] == (3, 5)
     assert {r["x"]: (r["follow"], r["n"], r["legal"]) for r in found} == want
+
+
+def whole(spark, name, *cuts):
+    """The query against its SQL without the cuts that the SQL has."""
+    sql = all_oracles()[name]
+    for old, new in cuts:
+        assert old in sql
+        sql = sql.replace(old, new)
+    same(spark, connect(SF), SF, all_queries()[name], sql)
+
+
+@pytest.mark.parametrize("name", ["pit_interval_sum", "asof_latest_active", "step_segments", "step_aggregate"])
+def test_all_firms(spark, name):
+    whole(spark, name, ("WHERE o_custkey % 10 = 0", ""))
+
+
+@pytest.mark.parametrize(("name", "cut"), [("assignee_dictionary", "WHERE o_orderkey % 7 = 0"), ("publication_extract", "WHERE l_orderkey % 5 = 0")])
+def test_all_orders(spark, name, cut):
+    whole(spark, name, (cut, ""))
