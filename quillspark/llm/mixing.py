@@ -11,6 +11,8 @@ from quillspark.llm.shared import saved
 WEIGHTS = (3, 1, 2)
 SLOTS = 1 << 16
 MOST = 2
+FINE = 256
+"""Sources whose target is fewer blocks than this are filled exactly; for others the points' unevenness is a small part."""
 GOLDEN = 2654435769
 """2**32 divided by the golden ratio, rounded to odd: its multiples modulo 2**32 are the golden-ratio points."""
 
@@ -67,14 +69,26 @@ def _block(n_slots: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col("total") * 1.5 / n_slots)).cast("bigint")
 
 
+def _limited(shares: DataFrame, n_slots: int) -> DataFrame:
+    """Adds words, the exact number that a source of few blocks gives; null where the points decide."""
+    return shares.withColumn("words", F.when(F.col("target") < FINE * _block(n_slots), F.round("target").cast("bigint")))
+
+
 def slots(spark: SparkSession, shares: DataFrame, n_slots: int) -> DataFrame:
-    """The schedule: slot, key and block (the slot's rank in its source). Slot k has the golden-ratio point k."""
+    """The schedule: slot, key and block (the slot's rank in its source). Slots order the mix; each has one source.
+
+    Slot k << 32 has the golden-ratio point k. The blocks of a source of few blocks, the last one partial, stand evenly
+    behind such slots, in slots of their own (k << 32 and the source's rank).
+    """
     cell = 20
     used = F.ceil(F.col("total") * 1.5 / _block(n_slots))
+    few = shares.filter("words > 0").select("key", used.alias("used"), F.ceil(F.col("words") / _block(n_slots)).alias("n"), F.row_number().over(W.orderBy("key")).cast("bigint").alias("rank"))
+    few = few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    few = few.select(F.expr("shiftleft((2 * block + 1) * used div (2 * n), 32) + rank").alias("slot"), "key", "block")
     points = spark.range(n_slots).select(F.col("id").alias("slot"), F.expr(f"(id * {GOLDEN}L) % {1 << 32}L").alias("point")).withColumn("cell", F.shiftright("point", cell))
-    ranges = shares.filter("hi > lo").select("key", "lo", "hi", used.alias("used"), F.explode(F.sequence(F.shiftright("lo", cell), F.shiftright(F.col("hi") - 1, cell))).alias("cell"))
+    ranges = shares.filter("hi > lo AND words IS NULL").select("key", "lo", "hi", used.alias("used"), F.explode(F.sequence(F.shiftright("lo", cell), F.shiftright(F.col("hi") - 1, cell))).alias("cell"))
     dealt = points.join(ranges, "cell").filter("point >= lo AND point < hi AND slot < used").select("slot", "key", F.shiftright("slot", 8).alias("part"))
-    return _running(dealt, "part", ["slot"], F.lit(1)).select("slot", "key", F.col("before").alias("block"))
+    return _running(dealt, "part", ["slot"], F.lit(1)).select(F.shiftleft("slot", 32).alias("slot"), "key", F.col("before").alias("block")).union(few)
 
 
 def schedule(documents: DataFrame, *, n_slots: int = SLOTS, seed: str = "", weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -82,16 +96,18 @@ def schedule(documents: DataFrame, *, n_slots: int = SLOTS, seed: str = "", weig
 
     The documents of a source are shuffled by a seeded hash and cut into blocks of equal tokens; a second pass through
     the source follows the first. The r-th slot of a source takes its block r. Blocks past MOST passes don't exist, so
-    no document is taken more often. At most n_slots slots make up the mix at any scale; small mixes have fewer, of one word each.
+    no document is taken more often. At most n_slots blocks make up the mix at any scale, besides those of sources of fewer than
+    FINE blocks, which give exactly their target in words; small mixes have fewer, of one word each.
     """
     spark = documents.sparkSession
     sizes = saved(_sizes(documents), "mix-sizes")
-    shares = saved(targets(sizes, weights), "mix-targets")
+    shares = saved(_limited(targets(sizes, weights), n_slots), "mix-targets")
     shuffled = sizes.withColumn("order", F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))).withColumn("part", F.substring("order", 1, 3))
     placed = _running(shuffled.filter("size > 0"), "part", ["order", "doc_id"], F.col("size")).join(shares, "key").withColumn("block_size", _block(n_slots))
     passes = placed.withColumn("at", F.explode(F.transform(F.array(*map(F.lit, range(MOST))), lambda p: F.col("before") + p * F.col("source_size"))))
-    spans = passes.withColumn("block", F.explode(F.sequence(F.expr("at div block_size"), F.expr("(at + size - 1) div block_size"))))
-    begin, end = F.greatest("at", F.col("block") * F.col("block_size")), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("block_size"))
+    passes = passes.withColumn("upto", F.least(F.col("at") + F.col("size"), F.col("words"))).filter("at < upto")
+    spans = passes.withColumn("block", F.explode(F.sequence(F.expr("at div block_size"), F.expr("(upto - 1) div block_size"))))
+    begin, end = F.greatest("at", F.col("block") * F.col("block_size")), F.least(F.col("upto"), (F.col("block") + 1) * F.col("block_size"))
     spans = spans.select("key", "block", "doc_id", (begin - F.col("at")).alias("start"), (end - begin).alias("tokens"))
     return spans.join(slots(spark, shares, n_slots), ["key", "block"]).select("slot", "key", "block", "doc_id", "start", "tokens"), sizes, shares
 
