@@ -149,14 +149,14 @@ SQL_TIERS = f"""SELECT core, assignee, n, CASE WHEN akey = core THEN 'T1_EXACT'
 
 
 def tiers(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of each core key, blocked by the first word: exact, word-boundary prefix, or for review.
+    """Candidates of each core key of the whole roster, blocked by the first word: exact, word-boundary prefix, or for review.
 
     Single generic or short words aren't taken by prefix.
     """
     named = firm_names(spark, d)
-    roster = named.filter("id < 6").select(nm.core(F.col("name")).alias("core")).distinct()
-    roster = roster.union(roster.select(F.split_part("core", F.lit(" "), F.lit(1)))).distinct()
     names = named.groupBy(F.col("name").alias("assignee"), nm.core(F.col("name")).alias("akey")).agg(F.count("*").alias("n"))
+    roster = names.select(F.col("akey").alias("core")).distinct()
+    roster = roster.union(roster.select(F.split_part("core", F.lit(" "), F.lit(1)))).distinct()
     pairs = roster.withColumn("head", F.split_part("core", F.lit(" "), F.lit(1))).join(names.withColumn("head", F.split_part("akey", F.lit(" "), F.lit(1))), "head")
     risky = ~F.col("core").contains(" ") & (F.col("core").isin(*lx.GENERIC) | (F.length("core") < lx.CORE_MIN))
     prefix = F.startswith("akey", F.concat("core", F.lit(" ")))

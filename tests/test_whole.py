@@ -54,3 +54,8 @@ def test_all_firms(spark, name):
 @pytest.mark.parametrize(("name", "cut"), [("assignee_dictionary", "WHERE o_orderkey % 7 = 0"), ("publication_extract", "WHERE l_orderkey % 5 = 0")])
 def test_all_orders(spark, name, cut):
     whole(spark, name, (cut, ""))
+
+
+@pytest.mark.parametrize("name", ["entity_tiers", "entity_suggest"])
+def test_whole_roster(spark, name):
+    whole(spark, name, ("WHERE id < 6", ""))
