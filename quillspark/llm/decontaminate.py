@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.shared import back, carried
 from quillspark.llm.text import ALNUM, CHUNK_BYTES, Rolling, Words, buffers, chunks, cover, find, window_min
 
 WINDOW, GRAM = 13, 5
@@ -87,13 +88,14 @@ def winnow(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     Documents stay whole in one row and nothing is shuffled.
 
     Nulls and empty texts have no words: n_words 0, not contaminated. Repeated rows give repeated results.
-    An empty benchmark hits nothing. Extra columns are ignored, or carried along when named in `keep`.
+    An empty benchmark hits nothing. Extra columns are ignored, or carried along when named in `keep`; one called like a result
+    comes back as `kept_` and its name. A null doc_id is a document of its own.
     """
     spark = documents.sparkSession
-    keep = keep or []
-    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *(k for k in keep if k != "text"))
+    renamed, kept = carried(documents, keep)
+    source = renamed.select(F.col("doc_id").cast("bigint").alias("doc_id"), *dict.fromkeys(["text", *kept]))
     shares = [spark.sparkContext.broadcast(ItemIndex(block, window, gram)) for block in _blocks(benchmark)]
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in (source.schema[k] for k in keep))
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in (source.schema[k] for k in kept))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,9 +110,9 @@ def winnow(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
                     if len(shares) > 1:
                         del share._value  # one block in memory at a time; .value reads it again
                 result = _result(part["doc_id"], w, hit, np.concatenate(docs), np.concatenate(items), names, least_share)
-                yield pa.RecordBatch.from_arrays([*result, *(part[k] for k in keep)], names=[*_NAMES, *keep])
+                yield pa.RecordBatch.from_arrays([*result, *(part[k] for k in kept)], names=[*_NAMES, *kept])
 
-    return source.mapInArrow(scan, SCHEMA + extra)
+    return back(source.mapInArrow(scan, SCHEMA + extra), keep)
 
 
 _NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.repeats import build_sketch, pack, to_owners, unpack
 from quillspark.llm.shared import partitions, saved
-from quillspark.llm.text import NOT_SPACE, U, Rolling, Words, buffers, chunks, mix
+from quillspark.llm.text import NOT_SPACE, U, Rolling, Words, buffers, chunks, mix, numbers
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 COUNTER_BITS, COUNTER_BLOCK = 20, 14
@@ -108,7 +108,7 @@ def _postings(source: DataFrame, levels: Broadcast, n: int, num: int, den: int,
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            ids = numbers(batch["doc_id"])
             for lo, hi, s in _sets(batch, n):
                 fresh = np.zeros(hi - lo, bool)
                 for i, sign in enumerate(s.sign):
@@ -238,8 +238,8 @@ def _members(source: DataFrame, clusters: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch["doc_id"].to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(wanted.value.maybe_repeated(mix(doc.astype(np.int64).view(U)))))
+            doc = numbers(batch["doc_id"])
+            yield batch.filter(pa.array(wanted.value.maybe_repeated(mix(doc.view(U)))))
 
     texts = source.mapInArrow(scan, "doc_id bigint, text string").withColumnRenamed("doc_id", "doc")
     last = (F.ceil(F.col("n") / BLOCK) - 1).cast("int")
@@ -436,8 +436,8 @@ def link(documents: DataFrame, *, shingle: int = SHINGLE, numerator: int = NUMER
 
     A set holds the distinct shingles of `shingle` words (`[^\\x20\\x09-\\x0D]+` after lower-casing A-Z) of a whole text; of
     fewer words all are one shingle. Sets link when their Jaccard similarity is numerator / denominator or more.
-    Null and empty texts have no shingles and link with nothing. Rows that repeat a doc_id are one node; they should
-    have the same text.
+    Null and empty texts have no shingles and link with nothing, nor do rows with a null doc_id, whose component_id is null. Rows
+    that repeat a doc_id are one node; they should have the same text. Other columns are ignored.
 
     - Equal sets (128-bit signature) link by one star each, whatever their number; a task indexes one of them.
     - Sets are ordered by rarity (merged counters), their prefixes go to the owners of their tokens. Linked sets share
@@ -454,7 +454,8 @@ def link(documents: DataFrame, *, shingle: int = SHINGLE, numerator: int = NUMER
     spark = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     survey = saved(_survey(source, shingle), "sets")
-    info = survey.filter("block IS NULL")
+    every = survey.filter("block IS NULL")
+    source, info = source.filter("doc_id IS NOT NULL"), every.filter("doc_id IS NOT NULL")
     levels = spark.sparkContext.broadcast(_levels(survey))
     groups = saved(_groups(_postings(source, levels, shingle, numerator, denominator, partitions(spark)), numerator, denominator), "groups")
     survivors = saved(_survivors(groups, info, numerator, denominator), "survivors")
@@ -462,5 +463,5 @@ def link(documents: DataFrame, *, shingle: int = SHINGLE, numerator: int = NUMER
     equal = info.filter("size > 0").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1")
     stars = info.join(equal, ["s1", "s2", "size"]).select(F.col("doc_id").alias("a"), "b")
     found = components(_links(source, clusters, shingle, numerator, denominator).unionByName(stars))
-    rows = info.select("doc_id", F.col("size").cast("bigint").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rows = every.select("doc_id", F.col("size").cast("bigint").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.shared import back, carried
 from quillspark.llm.text import NOT_SPACE, Words, buffers, chunks
 
 FIT_DOCS = 20_000
@@ -16,7 +17,8 @@ FIT_DOCS = 20_000
 BUCKETS = 16
 SMOOTH, CAP, PENALTY, OUT = 0.5, 6.0, 8.0, -40.0
 LEAST_SHARE = 0.01
-GROUP_WORDS = 1_500_000
+PART_BYTES = 4 << 20
+"""Texts of about so many bytes (or a longer one by itself) are scored and labelled together; only their scores are in memory."""
 
 SCRIPT = np.zeros(256, np.uint8)
 """Script of a UTF-8 lead byte: 1 Latin, 2 Greek, 3 Cyrillic, 4 Hebrew, 5 Arabic, 6 Indic and Thai, 7 other of E1, 8 Han and kana, 9 Hangul; 0 none."""
@@ -50,7 +52,7 @@ def _inside(w: Words) -> np.ndarray:
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Words]]:
     data, offsets = buffers(batch["text"])
-    for lo, hi in chunks(offsets):
+    for lo, hi in chunks(offsets, PART_BYTES):
         o = offsets[lo : hi + 1]
         yield lo, hi, Words(data[o[0] : o[-1]], o - o[0], NOT_SPACE, True)
 
@@ -70,6 +72,8 @@ class Model:
             allowed |= ~allowed.any(1, keepdims=True)
             self.out = np.where(allowed & (seen.sum(1, keepdims=True) > 0), 0, np.where(seen.sum(1, keepdims=True) > 0, OUT, 0)).astype(np.float32)
             self.out[0] = 0
+            if len(self.langs) > np.iinfo(np.int16).max:
+                raise ValueError(f"{len(self.langs)} languages are more than labels can name")
 
     def scores(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Score of each word for each language, and its script."""
@@ -93,13 +97,13 @@ def viterbi(score: np.ndarray, first: np.ndarray, counts: np.ndarray, penalty: f
     n = len(counts)
     longest = int(counts[0]) if n else 0
     active = np.searchsorted(-counts, -np.arange(longest), "left")
-    label = np.zeros(len(score), np.int8)
+    label = np.zeros(len(score), np.int16)
     if not longest:
         return label
-    switch = np.full(len(score), -1, np.int8)  # where a state that lost to best - penalty comes from
+    switch = np.full(len(score), -1, np.int16)  # where a state that lost to best - penalty comes from
     lost = np.zeros(score.shape, bool)
     v = score[first[: active[0]]].astype(np.float64)
-    last = np.zeros(active[0], np.int8)
+    last = np.zeros(active[0], np.int16)
     for t in range(1, longest):
         k = active[t]
         if k < len(v):
@@ -183,47 +187,46 @@ def identify(documents: DataFrame, model: Model, *, penalty: float = PENALTY, ke
     A text that is null or has no letter gives `und` with score 0, as does a model without languages.
     Repeated rows give repeated results.
     """
-    keep = keep or []
+    renamed, names = carried(documents, keep)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *(k for k in keep if k != "text"))
-    spans_type = "array<struct<lang:string,start:bigint,words:bigint>>"
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in (source.schema[k] for k in keep))
+    source = renamed.select(F.col("doc_id").cast("bigint").alias("doc_id"), *dict.fromkeys(["text", *names]))
+    schema = "doc_id bigint, lang_pred string, score double" + (", spans array<struct<lang:string,start:bigint,words:bigint>>" if with_spans else "")
+    schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in (source.schema[k] for k in names))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        n_langs = len(m.langs)
         for batch in batches:
-            parts = [(w.counts, *m.scores(w), _letters(w, batch["text"].slice(lo, hi - lo))) for lo, hi, w in _words(batch)] if n_langs else []
-            n = len(batch)
-            if not parts:
-                pred, share, spans = ["und"] * n, np.zeros(n), [[]] * n
-            else:
-                counts = np.concatenate([p[0] for p in parts])
-                score, script = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-                letters = np.concatenate([p[3] for p in parts])
-                first = np.cumsum(counts) - counts
-                labels = np.zeros(len(score), np.int8)
-                for group in _groups(counts):
-                    at = np.repeat(first[group] - (np.cumsum(counts[group]) - counts[group]), counts[group]) + np.arange(counts[group].sum())
-                    labels[at] = viterbi(score[at], np.cumsum(counts[group]) - counts[group], counts[group], penalty)
-                doc = np.repeat(np.arange(n), counts)
-                has = script > 0
-                votes = np.bincount(doc[has] * n_langs + labels[has], minlength=n * n_langs).reshape(n, n_langs)
-                sums = np.stack([np.bincount(doc, score[:, i], n).astype(float) for i in range(n_langs)], 1)
-                sums[:, m.first] += 1e-9
-                top = np.lexsort((sums, votes), 1)[:, -1]
-                total = votes.sum(1)
-                share = np.where(letters, np.where(total > 0, votes[np.arange(n), top] / np.maximum(total, 1), 1 / n_langs), 0.0)
-                pred = [m.langs[k] if ok else "und" for k, ok in zip(top, letters, strict=True)]
-                spans = [_spans(labels[f : f + c], m.langs) for f, c in zip(first, counts, strict=True)] if with_spans else None
-            columns = [batch["doc_id"], pa.array(pred, pa.string()), pa.array(share, pa.float64()), *(batch[k] for k in keep)]
-            names = ["doc_id", "lang_pred", "score", *keep]
-            if with_spans:
-                columns.append(pa.array(spans, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("words", pa.int64())]))))
-                names.append("spans")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return source.mapInArrow(label, "doc_id bigint, lang_pred string, score double" + extra + (f", spans {spans_type}" if with_spans else ""))
+            for lo, hi, w in _words(batch):
+                part = batch.slice(lo, hi - lo)
+                found = _predicted(m, w, part["text"], penalty, with_spans)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *found, *(part[k] for k in names)], names=["doc_id", "lang_pred", "score", *(["spans"] if with_spans else []), *names])
+
+    return back(source.mapInArrow(label, schema), keep)
+
+
+SPANS = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("words", pa.int64())]))
+
+
+def _predicted(m: Model, w: Words, texts: pa.Array, penalty: float, with_spans: bool) -> list[pa.Array]:
+    """lang_pred, score and, if asked for, spans of some documents."""
+    n, n_langs = w.n_docs, len(m.langs)
+    if not n_langs:
+        return [pa.array(["und"] * n, pa.string()), pa.array(np.zeros(n)), *([pa.array([[]] * n, SPANS)] if with_spans else [])]
+    score, script = m.scores(w)
+    letters = _letters(w, texts)
+    first = np.cumsum(w.counts) - w.counts
+    labels = viterbi(score, first, w.counts, penalty)
+    has = script > 0
+    votes = np.bincount(w.doc[has] * n_langs + labels[has], minlength=n * n_langs).reshape(n, n_langs)
+    sums = np.stack([np.bincount(w.doc, score[:, i], n).astype(float) for i in range(n_langs)], 1)
+    sums[:, m.first] += 1e-9
+    top = np.lexsort((sums, votes), 1)[:, -1]
+    total = votes.sum(1)
+    share = np.where(letters, np.where(total > 0, votes[np.arange(n), top] / np.maximum(total, 1), 1 / n_langs), 0.0)
+    out = [pa.array([m.langs[k] if ok else "und" for k, ok in zip(top, letters, strict=True)], pa.string()), pa.array(share, pa.float64())]
+    if with_spans:
+        out.append(pa.array([_spans(labels[f : f + c], m.langs) for f, c in zip(first, w.counts, strict=True)], SPANS))
+    return out
 
 
 def _letters(w: Words, texts: pa.Array) -> np.ndarray:
@@ -238,17 +241,6 @@ def _letters(w: Words, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _groups(counts: np.ndarray) -> Iterator[np.ndarray]:
-    """Documents by length, in groups of about GROUP_WORDS words."""
-    order = np.argsort(-counts, kind="stable")
-    upto = np.cumsum(counts[order])
-    lo = 0
-    while lo < len(order):
-        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + GROUP_WORDS, "right")))
-        yield order[lo:hi]
-        lo = hi
-
-
 def _spans(labels: np.ndarray, langs: list[str]) -> list[dict]:
     if not len(labels):
         return []

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.shared import back, carried
 from quillspark.llm.text import NOT_SPACE, Words, buffers, chunks
 
 FIT_ROWS = 20_000
@@ -104,7 +105,7 @@ class Ranker:
 
 
 def _scan(documents: DataFrame, keep: list[str]) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep)
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), *dict.fromkeys(["text", *keep]))
 
 
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ranker:
@@ -133,12 +134,14 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ra
 def rate(documents: DataFrame, ranker: Ranker, keep: list[str] | None = None) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 if score >= CUT) of each document, then the columns named in keep.
 
-    Only the text counts. Null is empty; an empty text has the features of no words and gets a score like any other.
+    Only the text counts. Null is empty; an empty text has the features of no words and gets a score like any other. Repeated
+    rows give repeated results, ties equal scores. Other columns are ignored; one in keep that is called like a result comes back as
+    `kept_` and its name.
     """
-    keep = keep or []
+    renamed, kept = carried(documents, keep)
     shared = documents.sparkSession.sparkContext.broadcast(ranker)
-    source = _scan(documents, keep)
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep)
+    source = _scan(renamed, kept)
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in (source.schema[k] for k in kept))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,6 +150,6 @@ def rate(documents: DataFrame, ranker: Ranker, keep: list[str] | None = None) ->
                 o = offsets[lo : hi + 1]
                 s = shared.value.score(features(data[o[0] : o[-1]], o - o[0]))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(s), pa.array((s >= CUT).astype(np.int32)), *(part[k] for k in keep)], names=["doc_id", "score", "predicted", *keep])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(s), pa.array((s >= CUT).astype(np.int32)), *(part[k] for k in kept)], names=["doc_id", "score", "predicted", *kept])
 
-    return source.mapInArrow(score, "doc_id bigint, score double, predicted int" + extra)
+    return back(source.mapInArrow(score, "doc_id bigint, score double, predicted int" + extra), keep)

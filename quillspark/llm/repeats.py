@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.shared import partitions
-from quillspark.llm.text import U, buffers, chunks, cover, mix
+from quillspark.llm.text import U, buffers, chunks, cover, mix, numbers
 
 BLOCK_BITS = 20
 """Cells in a block of the sketch, as a power of two: 1,048,576 bits are 128 KiB."""
@@ -157,13 +157,13 @@ def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
 def with_marks(documents: DataFrame, marks: DataFrame, n_buckets: int, finish: Callable[[pa.RecordBatch, dict[int, np.ndarray]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Brings the marks of documents to their texts: both are dealt by a hash of doc_id, marks come first in a task.
 
-    finish(batch of doc_id and text, marks by doc_id) gives the result's batches.
+    finish(batch of doc_id and text, marks by doc_id) gives the result's batches. A null doc_id has no marks.
     """
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["doc_id"]
-            yield pa.RecordBatch.from_arrays([pa.array(doc_bucket(ids.to_numpy(zero_copy_only=False), n_buckets)), ids, batch["text"], pa.nulls(len(ids), pa.binary())], names=["bucket", "doc_id", "text", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc_bucket(numbers(ids), n_buckets)), ids, batch["text"], pa.nulls(len(ids), pa.binary())], names=["bucket", "doc_id", "text", "records"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []

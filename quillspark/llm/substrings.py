@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.repeats import MARK, RECORDS, build_sketch, doc_bucket, marked, pack, runs, text_values, to_owners, unpack, with_marks
 from quillspark.llm.shared import partitions, saved
-from quillspark.llm.text import NOT_SPACE, U, Rolling, Words, buffers, chunks, window_min
+from quillspark.llm.text import NOT_SPACE, U, Rolling, Words, buffers, chunks, numbers, window_min
 
 WINDOW, GRAM, SKETCH_BITS = 13, 6, 27
 FLUSH = 2_000_000
@@ -39,10 +39,12 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW, gram: int = GR
     larger inputs the sketch fills up and more windows are grouped, none is lost.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and, with_text, text (kept words joined by one space). Null and empty texts
-    have no words and lose none. doc_id should be unique; rows that repeat it count as one document for windows.
+    have no words and lose none. doc_id should be unique; rows that repeat it count as one document for windows, and each loses the
+    words of all marked places. Rows with a null doc_id lose nothing and take nothing from others. Other columns are ignored.
     """
     spark = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    named = source.filter("doc_id IS NOT NULL")
 
     def keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         w = Words(data, offsets, NOT_SPACE, False)
@@ -50,7 +52,7 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW, gram: int = GR
         doc = w.doc[at]
         return least[np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))[: len(least)]]
 
-    shared = spark.sparkContext.broadcast(build_sketch(source.select("text"), text_values(keys), sketch_bits))
+    shared = spark.sparkContext.broadcast(build_sketch(named.select("text"), text_values(keys), sketch_bits))
     n = partitions(spark)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +60,7 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW, gram: int = GR
         held, size = [], 0
         for batch in batches:
             data, offsets = buffers(batch["text"])
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            ids = numbers(batch["doc_id"])
             for lo, hi in chunks(offsets):
                 o = offsets[lo : hi + 1]
                 w = Words(data[o[0] : o[-1]], o - o[0], NOT_SPACE, False)
@@ -94,7 +96,7 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW, gram: int = GR
             later = runs(later)
             yield from pack(doc_bucket(later["doc"], n), later)
 
-    marks = saved(to_owners(source.mapInArrow(emit, RECORDS), n).mapInArrow(group, RECORDS), "marks")
+    marks = saved(to_owners(named.mapInArrow(emit, RECORDS), n).mapInArrow(group, RECORDS), "marks")
 
     def finish(batch: pa.RecordBatch, by: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         n_words, n_removed, digests, texts = [], [], [], []

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.repeats import MARK, RECORDS, Sketch, build_sketch, doc_bucket, marked, pack, runs, text_values, to_owners, unpack, with_marks
 from quillspark.llm.shared import partitions, saved
-from quillspark.llm.text import SYMBOL, U, Rolling, buffers, chunks, window_min
+from quillspark.llm.text import SYMBOL, U, Rolling, buffers, chunks, numbers, window_min
 
 LENGTH, GRAM, SKETCH_BITS = 100, 32, 27
 FLUSH_BYTES = 24 << 20
@@ -70,16 +70,17 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, gram: int = GR
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with_text, kept (bytes).
     Null counts as empty; shorter texts than `length` lose nothing. doc_id should be unique: rows that repeat it are
-    taken for the same document.
+    taken for the same document. Rows with a null doc_id lose nothing and take nothing from others. Other columns are ignored.
     """
     spark = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    named = source.filter("doc_id IS NOT NULL")
     triggers = text_values(lambda data, offsets: _phrases(data, offsets, length, gram)[3])
     n = partitions(spark)
-    twice = spark.sparkContext.broadcast(build_sketch(source.select("text"), triggers, sketch_bits))
-    parsed = saved(_pass(source, twice, n, length, gram, False), "parse")
+    twice = spark.sparkContext.broadcast(build_sketch(named.select("text"), triggers, sketch_bits))
+    parsed = saved(_pass(named, twice, n, length, gram, False), "parse")
     several = build_sketch(parsed.filter("bucket = -1").select("records"), lambda batch: iter(unpack(batch, np.dtype("<u8"))), sketch_bits, 1)
-    dictionary = saved(_pass(source, spark.sparkContext.broadcast(several), n, length, gram, True), "dictionary")
+    dictionary = saved(_pass(named, spark.sparkContext.broadcast(several), n, length, gram, True), "dictionary")
     marks = parsed.filter("bucket >= 0").unionByName(dictionary)
 
     def finish(batch: pa.RecordBatch, by: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +111,7 @@ def _pass(source: DataFrame, sketch: Broadcast, n: int, length: int, gram: int,
         held, size = [], 0
         for batch in batches:
             data, offsets = buffers(batch["text"])
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            ids = numbers(batch["doc_id"])
             for lo, hi in chunks(offsets):
                 o = offsets[lo : hi + 1]
                 held.append(_candidates(data[o[0] : o[-1]], o - o[0], ids[lo:hi], sketch.value, length, gram))

@@ -102,6 +102,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def numbers(column: pa.Array) -> np.ndarray:
+    """A bigint column as int64, exactly; nulls are 0 (to_numpy would turn a column with nulls into floats)."""
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+
+
 def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about `most` bytes; a longer document is a range by itself."""
     n, lo = len(offsets) - 1, 0

@@ -85,27 +85,57 @@ def test_components(spark):
 
 @pytest.mark.parametrize(("bits", "capacity"), [(64, 8192), (3, 2)])
 def test_exact_dedup(spark, docs, bits, capacity):
-    rows = [*docs, (9999, "LOWER CASE"), (docs[0][0], docs[0][1])]
+    rows = [*docs, (9999, "LOWER CASE"), (docs[0][0], docs[0][1]), (None, docs[1][1]), (None, "no id"), (None, "NO ID"), ((1 << 62) + 1, "big"), ((1 << 62) + 3, "BIG")]
     groups = {}
     for d, t in rows:
         groups.setdefault(brute.raw(t).translate(brute.UPPER), []).append(d)
-    found = exact.exact_groups(brute.frame(spark, rows), hash_bits=bits, capacity=capacity, max_depth=6).collect()
-    assert len(found) == len(rows)
-    for (d, t), r in zip(sorted(rows, key=repr), sorted(found, key=lambda r: repr((r.doc_id, dict(rows)[r.doc_id]))), strict=True):
+    last = {b: max((d for d in g if d is not None), default=None) for b, g in groups.items()}
+    options = {"hash_bits": bits, "capacity": capacity, "max_depth": 6}
+    found = exact.exact_groups(brute.frame(spark, rows), **options)
+    assert found.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_words", "key", "bucket"]
+    expected = []
+    for d, t in rows:
         b = brute.raw(t).translate(brute.UPPER)
-        assert (r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) == (d, max(groups[b]), len(groups[b]), d == max(groups[b]), brute.sha(b))
-    stays = exact.drop_copies(brute.frame(spark, rows))
-    assert sorted(r.doc_id for r in stays.collect()) == sorted(max(g) for g in groups.values())
+        expected.append((d, last[b], len(groups[b]), d == last[b], brute.sha(b)))
+    assert sorted((tuple(r)[:5] for r in found.collect()), key=repr) == sorted(expected, key=repr)
+    stays = exact.drop_copies(brute.frame(spark, rows), **options)
+    assert stays.columns == brute.frame(spark, rows).columns
+    assert sorted((r.doc_id for r in stays.collect()), key=repr) == sorted(last.values(), key=repr)
     assert exact.exact_groups(spark.createDataFrame([], EMPTY)).count() == 0
+    assert exact.drop_copies(spark.createDataFrame([], EMPTY)).count() == 0
 
 
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(1000).select(F.xxhash64("id").alias("key"))
-    cells = exact.directory(keys, 50, 8).join(keys.groupBy(F.shiftrightunsigned("key", 56).cast("int").alias("cell")).agg(F.count("*").alias("n")), "cell")
-    sizes = cells.groupBy("bucket", "depth").agg(F.sum("n").alias("n")).collect()
+    found = exact.Directory(keys, 1000, 50)
+    sizes = keys.withColumn("bucket", found.bucket("key")).groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.expr(f"shiftrightunsigned(key, {64 - found.depth})")).alias("a"), F.max(F.expr(f"shiftrightunsigned(key, {64 - found.depth})")).alias("b")).orderBy("a").collect()
     assert max(r.n for r in sizes) <= 50
     assert sum(r.n for r in sizes) == 1000
-    assert len({r.bucket for r in sizes}) == len(sizes) > 20
+    assert len(sizes) > 20
+    assert all(x.b < y.a for x, y in zip(sizes, sizes[1:], strict=False))  # a bucket is a range of keys
+    assert all(r.bucket <= r.a for r in sizes)
+
+
+def test_directory_doubles_while_a_bucket_is_overfull(spark):
+    """Keys of one narrow range, which the first doublings don't split."""
+    keys = spark.range(64).select(F.expr("shiftleft(id, 50)").alias("key"))
+    found = exact.Directory(keys, 64, 4, max_depth=14)
+    assert found.depth == 12
+    assert max(r["count"] for r in keys.groupBy(found.bucket("key")).count().collect()) <= 4
+
+
+def test_owners_get_buckets_of_the_directory(spark):
+    """Each bucket has one owner and as many keys as fit; all texts of a key are chained there."""
+    rows = [(i, f"text {i % 200}") for i in range(600)]
+    docs = spark.createDataFrame(rows, EMPTY)
+    index = exact.Index(exact.keyed(docs, 64).select(F.col("_key").alias("key")), capacity=8)
+    entries = index.entries(docs)
+    assert entries.count() == 200
+    assert entries.select("_bucket").distinct().count() >= 25
+    assert max(r["count"] for r in entries.groupBy("_bucket").count().collect()) <= 8
+    files = entries.select("_bucket", F.input_file_name().alias("f")).distinct()
+    assert files.count() == entries.select("_bucket").distinct().count()
+    assert {r._bucket for r in entries.select("_bucket", index.directory.bucket().alias("b")).filter("_bucket = b").collect()} == {r._bucket for r in entries.collect()}
 
 
 def test_line_dedup(spark, docs):
