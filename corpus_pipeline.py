@@ -8,49 +8,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, exact, jaccard, language, mixing, oracles
-from quillspark.llm.shared import saved
+from quillspark.llm.shared import original, saved, without
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _carried(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """docs with its further columns under names that no operator uses, and the way back."""
-    names = {c: f"_carried{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    back = [F.col(names.get(c, c)).alias(c) for c in docs.columns]
-    return docs.withColumnsRenamed(names), lambda df: df.select(*back)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; texts that are null or have no letter go."""
+    """Documents with a language; texts that are null or have no letter go. A null lang becomes the predicted one.
+
+    The model learns from the documents that have a lang; without any, lang stays null. Repeated rows stay repeated.
+    """
     model = language.fit(docs)
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    renamed, back = _carried(docs)
-    found = language.identify(renamed, model, keep=[c for c in renamed.columns if c != "doc_id"])
-    return back(found.filter(F.col("lang_pred") != "und"))
+    found = language.identify(docs, model, keep=docs.columns).filter(F.col("lang_pred") != "und")
+    return found.select(*(F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else own for c, own in zip(docs.columns, original(found, docs.columns), strict=True)))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of equal texts, the one with the largest doc_id."""
+    """One document of equal texts, the one with the largest doc_id; null ids are least, a repeated row stays once."""
     return exact.drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, the one with the smallest doc_id."""
-    stays = jaccard.link(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component of near duplicates, the one with the smallest doc_id. Rows with a null doc_id stay."""
+    gone = jaccard.link(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return without(docs, gone, "doc_id")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by benchmark items."""
+    """Documents that aren't contaminated by benchmark items; null and empty texts stay, repeated rows stay repeated."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    renamed, back = _carried(docs)
-    found = decontaminate.winnow(renamed, benchmark, keep=[c for c in renamed.columns if c != "doc_id"])
-    return back(found.filter(~F.col("contaminated")))
+    found = decontaminate.winnow(docs, benchmark, keep=docs.columns).filter(~F.col("contaminated"))
+    return found.select(*original(found, docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each remaining document the mix takes."""
+    """How many words of each remaining document the mix takes; documents without words take none."""
     return mixing.mix(docs)
 
 
