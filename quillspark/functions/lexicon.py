@@ -139,6 +139,15 @@ TECH_PREFIX4_V1 = "3341 3342 3344 3345 5112 5161 5179 5181 5182 5415".split()
 TECH_PREFIX4_V2 = "3341 3342 3344 3345".split()
 TECH_CODES_V2 = "511210 511200 513210 519130 519190 516210 519290 518111 518210 517911 517919 517810 541511 541512 541513 541519".split()
 
+# Categories whose papers count as AI papers.
+AI_CATEGORIES = "cs.LG cs.AI cs.CL cs.CV stat.ML cs.NE".split()
+
+# Concordance thresholds: least share and number of candidates, share from which a successor is adopted.
+CONCORDANCE_SHARE, CONCORDANCE_RANKED, CONCORDANCE_MOST, CONCORDANCE_ADOPT = 0.30, 30, 8, 0.50
+
+# Names of the R&D fact in filings, the first that a firm reports is taken.
+RD_TAGS = ("ResearchAndDevelopmentExpense", "ResearchAndDevelopmentExpenseExcludingAcquiredInProcessCost", "ResearchAndDevelopmentExpenseSoftwareExcludingAcquiredInProcessCost")
+
 # Paper categories to subfields, and the order of the single label.
 SUBFIELD = {"cs.CL": "LLM_NLP", "cs.NE": "Neural_Networks", "cs.CV": "Computer_Vision", "cs.RO": "Robotics", "cs.LG": "Machine_Learning", "stat.ML": "Machine_Learning", "cs.AI": "General_AI"}
 SUBFIELD_ORDER = ("cs.CL", "cs.CV", "cs.RO", "cs.LG", "stat.ML", "cs.AI", "cs.NE")

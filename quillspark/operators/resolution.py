@@ -48,6 +48,21 @@ def adjudicate(review: DataFrame, judged: DataFrame, include: DataFrame, least:
     return open_.join(listed, keys, "left").select(*keys, "n", F.coalesce("d", F.lit("EXCLUDE")).alias("decision"))
 
 
+def reason(core: Column, name: Column, head_firms: Column, functional: list[str]) -> Column:
+    """Why a name under review is or isn't taken for the firm: whose its first word is, whether the prefix fits, and what follows."""
+    fits = F.startswith(F.concat(name, F.lit(" ")), F.concat(core, F.lit(" ")))
+    rest = F.trim(F.substr(name, F.length(core) + 1))
+    known = F.forall(F.split(rest, " "), lambda w: F.array_contains(F.array(*map(F.lit, functional)), w))
+    return (
+        F.when((head_firms > 1) & fits, "head of several firms, whole prefix fits")
+        .when(head_firms > 1, "head of several firms, second word differs")
+        .when(~fits, "own head, not the whole prefix")
+        .when(rest == "", "same core")
+        .when(known, F.concat(F.lit("own head and functional words: "), rest))
+        .otherwise(F.concat(F.lit("own head, but further words: "), rest))
+    )
+
+
 def assemble_aliases(automatic: DataFrame, manual: DataFrame, curated: DataFrame, vetoed: DataFrame) -> DataFrame:
     """One row per ticker and assignee from three sources (curated over manual over automatic), vetoed pairs left out."""
     keys = ["ticker", "assignee"]

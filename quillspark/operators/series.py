@@ -74,11 +74,12 @@ def mode_of(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     return first_match(n, keys, F.desc("_n"), F.col(value)).select(*keys, F.col(value).alias(name))
 
 
-def benjamini_hochberg(p: str, *keys: str) -> Column:
-    """Adjusted p values."""
-    n = F.count(p).over(W.partitionBy(*keys))
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(p))
-    return n * F.col(p) / rank
+def benjamini_hochberg(df: DataFrame, p: str, keys: Sequence[str], ties: Sequence[str]) -> DataFrame:
+    """Adds p_adjusted: p values adjusted within keys; a larger p never gets a smaller one, none exceeds 1. ties orders equal p values."""
+    w = W.partitionBy(*keys)
+    scaled = df.withColumn("_q", F.count(p).over(w) * F.col(p) / F.row_number().over(w.orderBy(p, *ties)))
+    down = w.orderBy(F.desc(p), *(F.desc(t) for t in ties)).rowsBetween(W.unboundedPreceding, 0)
+    return scaled.withColumn("p_adjusted", F.least(F.lit(1.0), F.min("_q").over(down))).drop("_q")
 
 
 def first_match(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -1,6 +1,6 @@
 """Named queries over the driver tables, with the SQL that checks them."""
 
-from quillspark.plans import estimation, firms, market, more  # noqa: F401
+from quillspark.plans import estimation, firms, market, more, study  # noqa: F401
 from quillspark.plans.registry import ORACLES, QUERIES, Query
 
 

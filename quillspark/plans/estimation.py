@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.functions.tail_columns import sql_f_upper, sql_t_two_sided
 from quillspark.operators import estimators as es
 from quillspark.operators import series as s
 from quillspark.plans import market as mk
+from quillspark.plans import regression_sql as sq
 from quillspark.plans.registry import query
 from quillspark.sources.tables import table
 
@@ -72,10 +74,8 @@ def bh_adjust(spark: SparkSession, d: str) -> DataFrame:
     """Benjamini-Hochberg within families."""
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     p = rows.groupBy(F.col("c_mktsegment").alias("ticker"), F.month("o_orderdate").cast("bigint").alias("lagno")).agg((1 / (1 + F.abs(F.sum(F.col("c_acctbal") / 1e4 - 0.45)))).alias("p"))
-    w = W.partitionBy("ticker")
-    q = p.withColumn("q", F.count("*").over(w) * F.col("p") / F.row_number().over(w.orderBy("p", "lagno")))
-    adjusted = F.least(F.lit(1.0), F.min("q").over(w.orderBy(F.desc("p"), F.desc("lagno")).rowsBetween(W.unboundedPreceding, 0)))
-    return q.select("ticker", "lagno", F.round("p", 6).alias("p"), F.round(adjusted, 6).alias("p_adjusted"), s.stars(F.col("p")).alias("stars"))
+    q = s.benjamini_hochberg(p, "p", ["ticker"], ["lagno"])
+    return q.select("ticker", "lagno", F.round("p", 6).alias("p"), F.round("p_adjusted", 6).alias("p_adjusted"), s.stars(F.col("p")).alias("stars"))
 
 
 SQL_FY = "SELECT c_nationkey AS firm, year(o_orderdate) AS y, count(*) AS n, avg(o_totalprice) AS price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"
@@ -186,42 +186,85 @@ def per_pair(df: DataFrame, keys: list[str], estimate: Callable[[np.ndarray, np.
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six digits."""
+    return df.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
 def _one(row: dict | None) -> list[dict]:
     return [] if row is None else [row]
 
 
-@query()
+SQL_PAIRS = f"""SELECT ticker, subfield, m, y, x, row_number() OVER p AS i, count(*) OVER (PARTITION BY ticker, subfield) AS len, {", ".join(f"lag(x, {k}) OVER p AS x{k}" for k in range(1, 12))}, lag(y, 1) OVER p AS y1, lag(y, 2) OVER p AS y2 FROM
+  (SELECT r.ticker, v.subfield, r.m, r.ret AS y, v.x FROM ({mk.SQL_RET}) r JOIN (SELECT subfield, m, ln(n) - lag(ln(n)) OVER (PARTITION BY subfield ORDER BY m) AS x FROM ({mk.SQL_TYPES})) v ON r.m = v.m WHERE v.x IS NOT NULL) WINDOW p AS (PARTITION BY ticker, subfield ORDER BY m)"""
+"""Pairs with their lags; `len` months each."""
+_ARDL = ["x", "x1", "x2", "x3", "y1"]
+_ARDL_TERMS = [(i, [c for c in _ARDL if c != x] + [x]) for i, x in enumerate(_ARDL[:4])] + [(-1, ["x1 - x", "x2 - x", "x3 - x", "y1", "x"])]
+_KEYS = "ticker, subfield"
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT {_KEYS}, CAST({term} AS INT) AS term, round(b, 6) AS b, round(se, 6) AS se, round({sql_t_two_sided("b / se", "n - 6.0")}, 6) AS p, n, round(r2, 6) AS r2 FROM ({sq.coefficient(f"SELECT * FROM ({SQL_PAIRS}) WHERE i > 3 AND len >= 30", _KEYS, columns, 3)})""" for term, columns in _ARDL_TERMS))
 def ardl_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Distributed lags 0 to 3 with the first own lag, per pair; term -1 is the sum of effects."""
-    return per_pair(pairs(spark, d), ["ticker", "subfield"], es.ardl, {"term": "int", "b": "double", "se": "double", "p": "double", "n": "int", "r2": "double"})
+    return rounded(per_pair(pairs(spark, d), ["ticker", "subfield"], es.ardl, {"term": "int", "b": "double", "se": "double", "p": "double", "n": "bigint", "r2": "double"}))
 
 
-@query()
+_CUM = " UNION ALL ".join(f"""SELECT {_KEYS}, CAST({h} AS INT) AS h, b AS effect, se, n FROM ({sq.coefficient(f"SELECT * FROM ({SQL_PAIRS}) WHERE i >= {h} AND len >= 36", _KEYS, [*(f"x{i} - x" for i in range(1, h)), "x"], 6, adjust=True)})""" for h in range(1, 13))
+SQL_CUM = f"SELECT *, {sq.normal_two_sided('effect / se')} AS p FROM ({_CUM})"
+_STARS = "CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.1 THEN '*' ELSE '' END AS stars"
+
+
+def effects(spark: SparkSession, d: str) -> DataFrame:
+    out = per_pair(pairs(spark, d), ["ticker", "subfield"], es.cumulative, {"h": "int", "effect": "double", "se": "double", "p": "double", "n": "bigint"})
+    return out.withColumn("stars", s.stars(F.col("p")))
+
+
+@query(f"SELECT {_KEYS}, h, round(effect, 6) AS effect, round(se, 6) AS se, round(p, 6) AS p, n, {_STARS} FROM ({SQL_CUM})")
 def cum_effect_1_12(spark: SparkSession, d: str) -> DataFrame:
     """Cumulative effects over 1 to 12 months per pair, with stars."""
-    out = per_pair(pairs(spark, d), ["ticker", "subfield"], es.cumulative, {"h": "int", "effect": "double", "se": "double", "p": "double", "n": "int"})
-    return out.withColumn("stars", s.stars(F.col("p")))
+    return rounded(effects(spark, d))
 
 
-@query()
+@query(f"""SELECT {_KEYS}, h, round(effect, 6) AS effect, round(se, 6) AS se, round(p, 6) AS p, n, {_STARS} FROM (SELECT * FROM ({SQL_CUM}) WHERE effect IS NOT NULL AND NOT isnan(effect) QUALIFY row_number() OVER (PARTITION BY {_KEYS} ORDER BY abs(effect) DESC, h) = 1)
+  ORDER BY abs(effect) DESC, {_KEYS} LIMIT 20""")
 def best_horizon(spark: SparkSession, d: str) -> DataFrame:
     """The horizon of the largest absolute effect per pair, and the twenty largest."""
-    best = s.first_match(cum_effect_1_12(spark, d).filter("effect IS NOT NULL AND NOT isnan(effect)"), ["ticker", "subfield"], F.desc(F.abs("effect")), F.col("h"))
-    return best.orderBy(F.desc(F.abs("effect")), "ticker", "subfield").limit(20)
+    best = s.first_match(effects(spark, d).filter("effect IS NOT NULL AND NOT isnan(effect)"), ["ticker", "subfield"], F.desc(F.abs("effect")), F.col("h"))
+    return rounded(best.orderBy(F.desc(F.abs("effect")), "ticker", "subfield").limit(20))
 
 
-@query()
+def _granger_sql(direction: str, rows: str) -> str:
+    lags = f"SELECT * FROM (SELECT *, row_number() OVER p AS i, count(*) OVER (PARTITION BY {_KEYS}) AS len, lag(y, 1) OVER p AS ya, lag(y, 2) OVER p AS yb, lag(x, 1) OVER p AS xa, lag(x, 2) OVER p AS xb FROM ({rows}) WINDOW p AS (PARTITION BY {_KEYS} ORDER BY m)) WHERE i > 2 AND len >= 10"
+    f = "((a.rss - b.rss) / 2) / (b.rss / (b.n - 5))"
+    return f"""SELECT {_KEYS}, '{direction}' AS direction, round(f, 6) AS f, round({sql_f_upper("f", "2.0", "n - 5.0")}, 6) AS p, n FROM (SELECT b.*, {f} AS f FROM ({sq.rss(lags, _KEYS, ["ya", "yb"])}) a JOIN ({sq.rss(lags, _KEYS, ["ya", "yb", "xa", "xb"])}) b USING ({_KEYS}))"""
+
+
+@query(_granger_sql("x_to_y", f"SELECT {_KEYS}, m, y, x FROM ({SQL_PAIRS})") + " UNION ALL " + _granger_sql("y_to_x", f"SELECT {_KEYS}, m, x AS y, y AS x FROM ({SQL_PAIRS})"))
 def granger(spark: SparkSession, d: str) -> DataFrame:
     """Both directions per pair."""
     both = lambda y, x: [r | {"direction": k} for k, r in (("x_to_y", es.granger(y, x)), ("y_to_x", es.granger(x, y))) if r]
-    return per_pair(pairs(spark, d), ["ticker", "subfield"], both, {"direction": "string", "f": "double", "p": "double", "n": "int"})
+    return rounded(per_pair(pairs(spark, d), ["ticker", "subfield"], both, {"direction": "string", "f": "double", "p": "double", "n": "bigint"}))
 
 
-@query()
+SQL_UNIT = f"SELECT ticker, m, y, lag(y) OVER p AS level, y - lag(y) OVER p AS dy, row_number() OVER p - 1.0 AS trend, count(*) OVER (PARTITION BY ticker) AS len FROM (SELECT ticker, m, ln(price) AS y FROM ({mk.SQL_MONTHLY})) WINDOW p AS (PARTITION BY ticker ORDER BY m)"
+
+
+def _adf_sql(k: int) -> str:
+    """Tests of the series whose length calls for k - 1 lagged differences."""
+    lags = "".join(f", lag(dy, {i}) OVER (PARTITION BY ticker ORDER BY m) AS d{i}" for i in range(1, k))
+    rows = f"SELECT ticker, m, dy AS y, level, trend, len{''.join(f', d{i}' for i in range(1, k))} FROM (SELECT *{lags} FROM ({SQL_UNIT})) WHERE trend >= {k} AND len >= 10 AND CAST(floor(pow(len - 1, 1.0 / 3)) AS INT) + 1 = {k}"
+    quantile = lambda j: sq.interpolated("size", [f"{n}.0" for n in es.ADF_N], [f"({row[j]})" for row in es.ADF_Q])
+    found = f"SELECT f.ticker, t, n + {k - 1} AS size, n + {k} AS len FROM ({sq.plain_t(rows, 'ticker', ['trend', *(f'd{i}' for i in range(1, k)), 'level'])}) f"
+    cut = f"SELECT *, {', '.join(f'{quantile(j)} AS q{j}' for j in range(len(es.ADF_P)))} FROM ({found})"
+    return f"SELECT ticker, round(t, 6) AS t, round({sq.interpolated('t', [f'q{j}' for j in range(len(es.ADF_P))], [str(p) for p in es.ADF_P])}, 6) AS p, CAST({k - 1} AS INT) AS lags, CAST(len AS BIGINT) AS n FROM ({cut})"
+
+
+@query(" UNION ALL ".join(map(_adf_sql, range(3, 8))))
 def adf(spark: SparkSession, d: str) -> DataFrame:
     """Unit-root tests of the returns and prices of each ticker."""
     y = mk.monthly_prices(spark, d).select("ticker", "m", F.ln("price").alias("y"), F.lit(0.0).alias("x"))
-    return per_pair(y, ["ticker"], lambda y, x: _one(es.adf(y)), {"t": "double", "p": "double", "lags": "int", "n": "int"})
+    return rounded(per_pair(y, ["ticker"], lambda y, x: _one(es.adf(y)), {"t": "double", "p": "double", "lags": "int", "n": "bigint"}))
 
 
 @query()
@@ -266,7 +309,12 @@ def bootstrap_p(spark: SparkSession, d: str) -> DataFrame:
 SPECS = {"all": "true", "before_1999": "year(m) < 1999", "from_1999": "year(m) >= 1999", "without_1998": "year(m) <> 1998", "without_january": "month(m) <> 1"}
 
 
-@query()
+_SQL_X = f"SELECT *, row_number() OVER (ORDER BY abs(g) DESC, m) AS extreme FROM ({mk.SQL_JOINED})"
+_SQL_SPECS = " UNION ALL ".join(f"SELECT '{k}' AS spec, '{w}' AS weighting, m, {w} AS y, g AS x FROM ({_SQL_X}) WHERE {cond}" for k, cond in {**SPECS, "without_top3": "extreme > 3"}.items() for w in ("vw", "ew"))
+
+
+@query(f"""SELECT spec, weighting, round(b, 6) AS b, round(se, 6) AS se, round(b / se, 6) AS t, round(p, 6) AS p, n, round(r2, 6) AS r2, CASE WHEN p < 0.05 THEN 'significant' WHEN p < 0.1 THEN 'marginal' ELSE 'not significant' END AS verdict
+  FROM (SELECT *, {sql_t_two_sided("b / se", "n - 2.0")} AS p FROM ({sq.coefficient(_SQL_SPECS, "spec, weighting", ["x"], 4)}))""")
 def fragility_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Slope with Newey-West error in every specification and both weightings, also without the three most extreme months."""
     j = mk.joined(spark, d).withColumn("extreme", F.row_number().over(W.orderBy(F.desc(F.abs("g")), "m")))
@@ -275,15 +323,18 @@ def fragility_matrix(spark: SparkSession, d: str) -> DataFrame:
     for p in parts[1:]:
         rows = rows.unionByName(p)
     long = rows.unpivot(["spec", "m", "g"], ["vw", "ew"], "weighting", "y").withColumnRenamed("g", "x")
-    out = per_pair(long, ["spec", "weighting"], lambda y, x: _one(es.hac_line(y, x)), {"b": "double", "se": "double", "t": "double", "p": "double", "n": "int", "r2": "double"})
-    return out.withColumn("verdict", s.verdict(F.col("p")))
+    out = per_pair(long, ["spec", "weighting"], lambda y, x: _one(es.hac_line(y, x)), {"b": "double", "se": "double", "t": "double", "p": "double", "n": "bigint", "r2": "double"})
+    return rounded(out.withColumn("verdict", s.verdict(F.col("p"))))
 
 
-@query()
+_SQL_WIN = f'WITH j AS (SELECT m, vw, g, row_number() OVER (ORDER BY m) AS i FROM ({mk.SQL_JOINED})) SELECT e.i AS "end", j.m, j.vw AS y, j.g AS x FROM j JOIN j e ON j.i BETWEEN e.i - 35 AND e.i WHERE e.i >= 36'
+
+
+@query(f"""SELECT strftime(m, '%Y-%m') AS month, round(b, 6) AS b, round(b - 2 * se, 6) AS lower, round(b + 2 * se, 6) AS upper FROM ({sq.coefficient(_SQL_WIN, '"end"', ["x"], 4)}) JOIN (SELECT m, row_number() OVER (ORDER BY m) AS "end" FROM ({mk.SQL_JOINED})) USING ("end")""")
 def rolling_hac(spark: SparkSession, d: str) -> DataFrame:
     """Slope and band of two errors over the 36 months up to each month."""
     j = mk.joined(spark, d).select("m", F.row_number().over(W.orderBy("m")).alias("i"), "vw", "g")
     win = j.withColumn("end", F.explode(F.sequence(F.col("i"), F.col("i") + 35)))
     full = win.join(win.groupBy("end").agg(F.count("*").alias("c")).filter("c = 36").select("end"), "end")
     out = per_pair(full.select("end", "m", F.col("vw").alias("y"), F.col("g").alias("x")), ["end"], lambda y, x: _one(es.hac_line(y, x)), {"b": "double", "se": "double", "t": "double", "p": "double", "n": "int", "r2": "double"})
-    return out.join(j.select(F.col("i").alias("end"), "m"), "end").select(mk.mstr(), "b", (F.col("b") - 2 * F.col("se")).alias("lower"), (F.col("b") + 2 * F.col("se")).alias("upper"))
+    return rounded(out.join(j.select(F.col("i").alias("end"), "m"), "end").select(mk.mstr(), "b", (F.col("b") - 2 * F.col("se")).alias("lower"), (F.col("b") + 2 * F.col("se")).alias("upper")))

@@ -22,7 +22,7 @@ from quillspark.sources.tables import table
 
 # --- intervals -------------------------------------------------------------------------------------------------------
 
-SQL_IV = "SELECT o_custkey AS firm, o_orderkey * 10 + l_linenumber AS id, CAST(least(o_orderdate, l_shipdate) AS DATE) AS a, CAST(greatest(o_orderdate, l_shipdate) AS DATE) AS b, l_extendedprice AS xrd FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 0"
+SQL_IV = "SELECT o_custkey AS firm, o_orderkey * 10 + l_linenumber AS id, CAST(least(o_orderdate, l_shipdate) AS DATE) AS a, CAST(greatest(o_orderdate, l_shipdate) AS DATE) AS b, l_extendedprice AS xrd FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 SQL_Q = "SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-10-01', INTERVAL 3 MONTH)) AS DATE) AS q"
 
 
@@ -52,7 +52,7 @@ def asof_latest_active(spark: SparkSession, d: str) -> DataFrame:
     return last.groupBy(F.col("q").cast("string").alias("quarter")).agg(F.count("*").alias("n_firms"), F.round(F.sum("xrd"), 2).alias("total"))
 
 
-SQL_YEAR = "SELECT o_custkey AS firm, year(o_orderdate) AS fy, sum(o_totalprice) AS xrd, CAST(max(o_orderdate) AS DATE) AS b FROM orders WHERE o_custkey % 10 = 0 GROUP BY ALL"
+SQL_YEAR = "SELECT o_custkey AS firm, year(o_orderdate) AS fy, sum(o_totalprice) AS xrd, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY ALL"
 
 
 def fiscal(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +142,7 @@ def entity_core_key(spark: SparkSession, d: str) -> DataFrame:
     return firm_names(spark, d).select("id", nm.norm(F.col("name")).alias("norm"), nm.core(F.col("name")).alias("core"))
 
 
-SQL_ROSTER = f"SELECT DISTINCT {_SQL_CORE.format('name')} AS core FROM ({SQL_NAMES}) WHERE id < 6"
+SQL_ROSTER = f"SELECT DISTINCT {_SQL_CORE.format('name')} AS core FROM ({SQL_NAMES})"
 SQL_DICT = f"SELECT name AS assignee, {_SQL_CORE.format('name')} AS akey, count(*) AS n FROM ({SQL_NAMES}) GROUP BY ALL"
 SQL_TIERS = f"""SELECT core, assignee, n, CASE WHEN akey = core THEN 'T1_EXACT' WHEN len(string_split(core, ' ')) = 1 AND length(core) < 5 THEN 'T3_REVIEW' WHEN starts_with(akey, core || ' ') THEN 'T2_PREFIX' ELSE 'T3_REVIEW' END AS tier, akey
   FROM (SELECT * FROM ({SQL_ROSTER}) UNION SELECT split_part(core, ' ', 1) FROM ({SQL_ROSTER})) JOIN ({SQL_DICT}) ON split_part(core, ' ', 1) = split_part(akey, ' ', 1)"""
@@ -189,7 +189,7 @@ def entity_suggest(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STRICT = ", ".join(repr(x) for x in lx.LEGAL_STRICT)
-SQL_TOKENS = rf"""SELECT x, count(DISTINCT t[1]) AS follow, count(*) AS n, avg(CAST(len(list_intersect(t, [{_STRICT}])) > 0 AS INT)) AS legal FROM (SELECT t, unnest(list_distinct(t[2:])) AS x FROM (SELECT string_split(trim(regexp_replace(upper(regexp_replace(left(text, 200), '[^\x00-\x7F]+', ' ', 'g')), '[^A-Z0-9]+', ' ', 'g')), ' ') AS t FROM documents WHERE text IS NOT NULL)) GROUP BY x"""
+SQL_TOKENS = rf"""SELECT x, count(DISTINCT t[1]) AS follow, count(*) AS n, avg(CAST(len(list_intersect(t, [{_STRICT}])) > 0 AS INT)) AS legal FROM (SELECT t, unnest(list_distinct(t[2:])) AS x FROM (SELECT string_split(trim(regexp_replace(upper(regexp_replace(text, '[^\x00-\x7F]+', ' ', 'g')), '[^A-Z0-9]+', ' ', 'g')), ' ') AS t FROM documents WHERE text IS NOT NULL)) GROUP BY x"""
 
 
 def token_stats(rows: DataFrame, name: Column) -> DataFrame:
@@ -203,7 +203,7 @@ def token_stats(rows: DataFrame, name: Column) -> DataFrame:
 
 @query(f"SELECT x, follow, n, round(legal, 6) AS legal FROM ({SQL_TOKENS}) WHERE n >= 3")
 def token_follow_stats(spark: SparkSession, d: str) -> DataFrame:
-    """A document's whole text stands for a name here. The SQL still reads 200 characters, so it agrees on short texts only."""
+    """A document's whole text stands for a name here."""
     docs = table(spark, d, "documents").filter("text IS NOT NULL")
     return token_stats(docs, F.regexp_replace("text", r"[^\x00-\x7F]+", " ")).filter("n >= 3").select("x", "follow", "n", F.round("legal", 6).alias("legal"))
 

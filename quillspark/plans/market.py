@@ -208,8 +208,8 @@ _CODES = ("334111", "511210", "541512", "236220", "0", "325412", "518210", "4481
 """Industry codes that stand in for those of firms; 0 means missing."""
 SQL_CODE = f"[{', '.join(repr(c) for c in _CODES)}][1 + (l_partkey * 7 + month(l_shipdate)) % {len(_CODES)}]"
 SQL_FIRM_CODES = f"SELECT l_suppkey AS permno, date_trunc('month', l_shipdate) AS m, l_orderkey, l_linenumber, l_quantity AS qty, nullif({SQL_CODE}, '0') AS code FROM lineitem"
-_V1 = "left(code, 4) IN ('3341','3342','3344','3345','5112','5161','5179','5181','5182','5415')"
-_V2 = "(left(code, 4) IN ('3341','3342','3344','3345') OR code IN ('511210','511200','513210','519130','519190','516210','519290','518111','518210','517911','517919','517810','541511','541512','541513','541519'))"
+_V1 = f"left(code, 4) IN ({', '.join(map(repr, lx.TECH_PREFIX4_V1))})"
+_V2 = f"(left(code, 4) IN ({', '.join(map(repr, lx.TECH_PREFIX4_V2))}) OR code IN ({', '.join(map(repr, lx.TECH_CODES_V2))}))"
 
 
 def firm_codes(spark: SparkSession, d: str) -> DataFrame:

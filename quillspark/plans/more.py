@@ -17,7 +17,7 @@ from quillspark.plans import market as mk
 from quillspark.plans.registry import query
 from quillspark.sources.tables import table
 
-_NAMES = "SELECT o_orderkey, unnest([p_brand || ' INC', p_type || ' ' || p_brand]) AS assignee, year(o_orderdate) AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 7 = 0"
+_NAMES = "SELECT o_orderkey, unnest([p_brand || ' INC', p_type || ' ' || p_brand]) AS assignee, year(o_orderdate) AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"
 
 
 def assignments(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +32,7 @@ def assignee_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return g.filter("n >= 3")
 
 
-@query("""WITH p AS (SELECT l_orderkey AS id, list(p_brand) AS names, list(p_type || '/' || p_size) AS codes, min(p_name) FILTER (p_size > 10) AS title FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 5 = 0 GROUP BY 1)
+@query("""WITH p AS (SELECT l_orderkey AS id, list(p_brand) AS names, list(p_type || '/' || p_size) AS codes, min(p_name) FILTER (p_size > 10) AS title FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
   SELECT id, title, array_to_string(list_sort(list_distinct(codes)), ';') AS codes, array_to_string(list_sort(list_distinct(list_filter(names, lambda x: x IN ('Brand#1', 'Brand#2', 'Brand#3')))), '|') AS matched FROM p WHERE len(list_filter(names, lambda x: x IN ('Brand#1', 'Brand#2', 'Brand#3'))) > 0""")
 def publication_extract(spark: SparkSession, d: str) -> DataFrame:
     """Publications with any wanted assignee: a title, sorted distinct codes and matched names, packed."""
