@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lx
+from quillspark.functions.proximity import terms_regex
 
 
 @dataclass(frozen=True)
@@ -73,3 +74,18 @@ def successor_allowed(old: Column, new: Column) -> Column:
     for prefix, targets in reversed(lx.SUCCESSORS):
         ok = F.when(old.startswith(prefix), any_prefix(new, targets)).otherwise(ok)
     return ok
+
+
+def build_rules(blocks: dict[str, str], terms: dict[str, list[str]]) -> dict[str, dict]:
+    """A rule set for a configuration file: search text of code blocks and lists of search terms, compiled."""
+    rules: dict[str, dict] = {}
+    for name, text in blocks.items():
+        r = CodeRules.parse(text)
+        rules[name] = {"exact": sorted(set(r.exact)), "prefix": sorted(set(r.prefix)), "range": [list(x) for x in r.range]}
+    return rules | {name: {"terms": lines, "pattern": terms_regex(lines)} for name, lines in terms.items()}
+
+
+def rules_of(config: dict, name: str) -> CodeRules:
+    """A block of a rule set read back."""
+    c = config[name]
+    return CodeRules(tuple(c["exact"]), tuple(c["prefix"]), tuple((h, lo, hi) for h, lo, hi in c["range"]))

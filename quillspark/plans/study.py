@@ -22,6 +22,7 @@ from quillspark.plans import estimation as et
 from quillspark.plans import firms as fm
 from quillspark.plans import market as mk
 from quillspark.plans.registry import query
+from quillspark.sources.remote import first_reported
 from quillspark.sources.tables import table
 
 # --- papers ----------------------------------------------------------------------------------------------------------
@@ -323,6 +324,58 @@ def citation_regression(spark: SparkSession, d: str) -> DataFrame:
     return h.select("n", *_round("b", "t"), F.round(t_two_sided(F.col("t"), F.col("n") - 2), 6).alias("p"))
 
 
+SQL_FACTS = f"SELECT o_custkey AS firm, [{', '.join(map(repr, lx.RD_TAGS))}, 'Other'][1 + (o_custkey + o_orderkey % 2) % 4] AS tag, year(o_orderdate) AS fy, CAST(o_orderdate AS DATE) AS filed, CAST(o_orderdate AS DATE) - CAST(300 + o_orderkey % 100 AS INT) AS a, CAST(o_orderdate AS DATE) AS b, o_orderstatus AS form, o_orderkey AS id, o_totalprice AS value FROM orders"
+
+
+@query(f"""WITH f AS ({SQL_FACTS}), k AS (SELECT *, list_position([{', '.join(map(repr, lx.RD_TAGS))}], tag) AS place FROM f WHERE tag <> 'Other' QUALIFY place = min(place) OVER (PARTITION BY firm))
+  SELECT firm, fy, tag, CAST(b - a AS BIGINT) AS days, value FROM k WHERE form <> 'P' AND b - a BETWEEN 340 AND 380 QUALIFY row_number() OVER (PARTITION BY firm, fy ORDER BY filed DESC, id DESC) = 1""")
+def rd_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Yearly facts: a firm's first reported tag, forms of the right kind, periods of 340 to 380 days, the latest filing of each year."""
+    o = table(spark, d, "orders")
+    tag = F.element_at(F.array(*map(F.lit, (*lx.RD_TAGS, "Other"))), ((F.col("o_custkey") + F.col("o_orderkey") % 2) % 4 + 1).cast("int"))
+    day = F.col("o_orderdate").cast("date")
+    f = o.select(F.col("o_custkey").alias("firm"), tag.alias("tag"), F.year("o_orderdate").cast("bigint").alias("fy"), day.alias("b"), F.date_sub(day, (300 + F.col("o_orderkey") % 100).cast("int")).alias("a"), F.col("o_orderstatus").alias("form"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
+    days = F.datediff("b", "a")
+    k = first_reported(f, "firm", "tag").filter((F.col("form") != "P") & days.between(340, 380))
+    return s.first_match(k, ["firm", "fy"], F.desc("b"), F.desc("id")).select("firm", "fy", "tag", days.cast("bigint").alias("days"), "value")
+
+
+# --- inputs of figures -----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT CAST(floor(ret / 0.25) AS BIGINT) AS bin, count(*) AS n FROM ({mk.SQL_RET}) GROUP BY 1")
+def figure_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Returns in bins of 0.25."""
+    return mk.returns(spark, d).groupBy(F.floor(F.col("ret") / 0.25).alias("bin")).agg(F.count("*").alias("n"))
+
+
+_FIVE = {"low": 0.0, "q1": 0.25, "mid": 0.5, "q3": 0.75, "high": 1.0}
+
+
+@query(f"SELECT ticker, count(*) AS n, {', '.join(f'round(quantile_cont(ret, {q}), 6) AS {k}' for k, q in _FIVE.items())} FROM ({mk.SQL_RET}) GROUP BY ticker")
+def figure_box(spark: SparkSession, d: str) -> DataFrame:
+    """Box plot of returns per ticker."""
+    g = mk.returns(spark, d).groupBy("ticker").agg(F.count("*").alias("n"), F.percentile("ret", list(_FIVE.values())).alias("q"))
+    return g.select("ticker", "n", *(F.round(F.col("q")[i], 6).alias(k) for i, k in enumerate(_FIVE)))
+
+
+@query(f"SELECT ticker, subfield, count(*) AS n, round(corr(y, x), 6) AS r FROM ({et.SQL_PAIRS}) GROUP BY ALL")
+def figure_heatmap(spark: SparkSession, d: str) -> DataFrame:
+    """Correlations of returns with growth, ticker by subfield."""
+    return et.pairs(spark, d).groupBy("ticker", "subfield").agg(F.count("*").alias("n"), F.round(F.corr("y", "x"), 6).alias("r"))
+
+
+@query(f"SELECT strftime(m, '%Y-%m') AS month, subfield, n, CAST(sum(n) OVER (PARTITION BY m ORDER BY subfield) AS BIGINT) AS top, round(n / sum(n) OVER (PARTITION BY m), 6) AS share FROM ({mk.SQL_TYPES})")
+def figure_stacked(spark: SparkSession, d: str) -> DataFrame:
+    """Stacked areas of subfields by month: counts, upper edges and shares."""
+    w = W.partitionBy("m")
+    upto = w.orderBy("subfield").rowsBetween(W.unboundedPreceding, 0)
+    return mk.subfields(spark, d).select(mk.mstr(), "subfield", "n", F.sum("n").over(upto).alias("top"), F.round(F.col("n") / F.sum("n").over(w), 6).alias("share"))
+
+
+# --- impulse responses -----------------------------------------------------------------------------------------------
+
+
 def _irf_grid(y: DataFrame, x: DataFrame, keys: list[str]) -> DataFrame:
     return et.per_pair(y.join(x, ["m", *[k for k in x.columns if k in y.columns and k != "m"]]).dropna(), keys, et.es.irf, {"h": "int", "irf": "double", "lower": "double", "upper": "double", "order": "int", "star": "string"})
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import logging
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,31 @@ def read_config(text: str) -> Any:  # noqa: ANN401
     return json.loads(text)
 
 
+def write_config(path: str, value: Any) -> None:  # noqa: ANN401
+    """A JSON configuration, written beside its place and then moved there."""
+    part = Path(f"{path}.part")
+    part.write_text(json.dumps(value, ensure_ascii=False, indent=2), encoding="utf-8")
+    part.replace(path)
+
+
+@contextlib.contextmanager
+def diagnostics(path: str) -> Iterator[logging.Logger]:
+    """The logger, with its lines on the console and in a new file as well; both end with the block, also after an error."""
+    handlers = [logging.StreamHandler(), logging.FileHandler(path, mode="w", encoding="utf-8")]
+    level = log.level
+    for h in handlers:
+        h.setFormatter(logging.Formatter("%(message)s"))
+        log.addHandler(h)
+    log.setLevel(logging.INFO)
+    try:
+        yield log
+    finally:
+        log.setLevel(level)
+        for h in handlers:
+            log.removeHandler(h)
+            h.close()
+
+
 def first_available(*sources: Callable[[], DataFrame]) -> DataFrame:
     """The first source that can be read; the last error is raised if none can."""
     error: Exception | None = None
@@ -101,19 +128,28 @@ def require_subset(rows: DataFrame, known: DataFrame, keys: list[str], what: str
 
 
 def publish(df: DataFrame, path: str, *, expect_rows: int | None = None, partition_by: list[str] | None = None) -> int:
-    """Writes beside the target, checks the number of rows as read back, then moves it into place. Returns that number."""
+    """Writes beside the target, checks the number of rows as read back, then moves it into place. Returns that number.
+
+    The old table is moved aside first and deleted last; if the new one can't be moved, the old one is put back.
+    """
     spark, staging = df.sparkSession, f"{path}.staging"
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staging)
     n = spark.read.parquet(staging).count() if df.columns else 0
     if expect_rows is not None and n != expect_rows:
         raise ValueError(f"{path}: {n} rows, not {expect_rows}")
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staging)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, new, old = place(path), place(staging), place(f"{path}.old")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(old, True)
-    if not fs.rename(new, old):
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(old, target)
         raise OSError(f"{staging} can't be moved to {path}")
+    fs.delete(old, True)
     return n
 
 

@@ -9,8 +9,11 @@ from quillspark.functions import codes as cd
 from quillspark.functions import dates as dt
 from quillspark.functions import lexicon as lx
 from quillspark.functions import names as nm
+from quillspark.functions import tail_columns as tc
 from quillspark.functions.proximity import term_regex, terms_regex
 from quillspark.functions.tails import f_upper, normal_two_sided, t_two_sided
+from quillspark.operators import series as s
+from quillspark.plans import study
 
 
 def one(spark, value, expr, kind="string"):
@@ -115,3 +118,23 @@ def test_tails():
 
 def test_no_term_needs_escapes():
     assert all(re.compile(term_regex(t)) for t in (*lx.K1, *lx.K2))
+
+
+def test_tails_as_columns(spark):
+    rows = [(0.3, 3.0, 40.0), (4.36, 2.0, 103.0), (9.91, 11.0, 95.0), (1e-9, 1.0, 5.0), (200.0, 1.0, 30.0)]
+    df = spark.createDataFrame(rows, "f double, a double, b double").select("*", tc.f_upper(F.col("f"), F.col("a"), F.col("b")).alias("p"), tc.t_two_sided(F.sqrt("f"), F.col("b")).alias("t"))
+    for r in df.collect():
+        assert r.p == pytest.approx(f_upper(r.f, r.a, r.b), abs=1e-8)
+        assert r.t == pytest.approx(t_two_sided(r.f**0.5, r.b), abs=1e-8)
+
+
+def test_adjusted_p_values(spark):
+    p = [0.01, 0.02, 0.03, 0.04, 0.5]
+    df = spark.createDataFrame(list(enumerate(p)), "i int, p double")
+    assert [round(r.p_adjusted, 6) for r in s.benjamini_hochberg(df, "p", [], ["i"]).orderBy("i").collect()] == [0.05, 0.05, 0.05, 0.05, 0.5]
+
+
+def test_publication_parts(spark):
+    df = spark.createDataFrame([("20200131", "t", None), ("202001", None, "a"), ("20209999", "t", "a"), (None, None, None)], "d string, t string, a string")
+    found = [(str(r.d), r.x) for r in df.select(study.whole_date(F.col("d")).alias("d"), study.joined_text(F.col("t"), F.col("a")).alias("x")).collect()]
+    assert found == [("2020-01-31", "t "), ("None", " a"), ("None", "t a"), ("None", " ")]
