@@ -57,13 +57,12 @@ _ESC = r"replace(replace(replace({0}, '\', '\b'), '<', '\l'), '>', '\g')"
 
 CHAT_FORMATTING = rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
-r AS (SELECT conv_id, turn, CASE role WHEN 'human' THEN 'user' WHEN 'prompter' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' ELSE role END AS role, text FROM t)
+  UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<turn:' || {_ESC.format("role")} || '>' || chr(10) || {_ESC.format("text")} || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
-FROM r GROUP BY conv_id"""
+FROM t GROUP BY conv_id"""
 
 
 def source_mixing(documents: str = "documents", slots: int = 1 << 16) -> str:
