@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.repeats import build_sketch, pack, to_owners, unpack
 from quillspark.llm.shared import partitions, saved
-from quillspark.llm.text import NOT_SPACE, U, Rolling, Words, buffers, chunks, mix, numbers
+from quillspark.llm.text import NOT_SPACE, U, Rolling, Words, buffers, chunks, grouped_order, mix, numbers
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 COUNTER_BITS, COUNTER_BLOCK = 20, 14
@@ -32,8 +32,7 @@ class Sets:
         short = np.flatnonzero((w.counts > 0) & (w.counts < n))
         token = np.concatenate([roll.at(at, n), roll.at(w.first[short], w.counts[short])]) >> U(6)
         doc = np.concatenate([w.doc[at], short])
-        order = np.argsort(token, kind="stable")
-        order = order[np.argsort(doc[order], kind="stable")]
+        order = grouped_order(doc, token, w.n_docs)
         token, doc = token[order], doc[order]
         new = np.append(True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1]))[: len(token)]
         self.token, self.doc = token[new], doc[new]
@@ -117,8 +116,7 @@ def _postings(source: DataFrame, levels: Broadcast, n: int, num: int, den: int,
                             seen.add(key)
                         fresh[i] = True
                 key = (levels.value[(s.token >> U(58 - COUNTER_BITS)).astype(np.int64)].astype(U) << U(58)) | s.token
-                order = np.argsort(key, kind="stable")
-                order = order[np.argsort(s.doc[order], kind="stable")]
+                order = grouped_order(s.doc, key, hi - lo)
                 doc = s.doc[order]
                 place = np.arange(len(doc)) - s.first[doc]
                 size = s.size[doc]

@@ -17,14 +17,62 @@ FIT_DOCS = 20_000
 BUCKETS = 16
 SMOOTH, CAP, PENALTY, OUT = 0.5, 6.0, 8.0, -40.0
 LEAST_SHARE = 0.01
-PART_BYTES = 4 << 20
-"""Texts of about so many bytes (or a longer one by itself) are scored and labelled together; only their scores are in memory."""
 
-SCRIPT = np.zeros(256, np.uint8)
-"""Script of a UTF-8 lead byte: 1 Latin, 2 Greek, 3 Cyrillic, 4 Hebrew, 5 Arabic, 6 Indic and Thai, 7 other of E1, 8 Han and kana, 9 Hangul; 0 none."""
-for _script, _first, _last in ((1, 0x41, 0x5A), (1, 0x61, 0x7A), (1, 0xC3, 0xCA), (2, 0xCD, 0xCF), (3, 0xD0, 0xD4), (4, 0xD6, 0xD7), (5, 0xD8, 0xDB), (6, 0xE0, 0xE0), (7, 0xE1, 0xE1), (8, 0xE3, 0xE9), (9, 0xEA, 0xED)):
-    SCRIPT[_first : _last + 1] = _script
-N_SCRIPTS = 10
+# Scripts by ranges of code points, Latin first.
+SCRIPTS = {
+    "Latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x2AF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA722, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)),
+    "Greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "Cyrillic": ((0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "Armenian": ((0x531, 0x58A), (0xFB13, 0xFB17)),
+    "Hebrew": ((0x590, 0x5FF), (0xFB1D, 0xFB4F)),
+    "Arabic": ((0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC)),
+    "Syriac": ((0x700, 0x74F),),
+    "Thaana": ((0x780, 0x7BF),),
+    "Devanagari": ((0x900, 0x97F), (0xA8E0, 0xA8FF)),
+    "Bengali": ((0x980, 0x9FF),),
+    "Gurmukhi": ((0xA00, 0xA7F),),
+    "Gujarati": ((0xA80, 0xAFF),),
+    "Oriya": ((0xB00, 0xB7F),),
+    "Tamil": ((0xB80, 0xBFF),),
+    "Telugu": ((0xC00, 0xC7F),),
+    "Kannada": ((0xC80, 0xCFF),),
+    "Malayalam": ((0xD00, 0xD7F),),
+    "Sinhala": ((0xD80, 0xDFF),),
+    "Thai": ((0xE00, 0xE7F),),
+    "Lao": ((0xE80, 0xEFF),),
+    "Tibetan": ((0xF00, 0xFFF),),
+    "Myanmar": ((0x1000, 0x109F),),
+    "Georgian": ((0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)),
+    "Ethiopic": ((0x1200, 0x139F), (0x2D80, 0x2DDF)),
+    "Cherokee": ((0x13A0, 0x13FF), (0xAB70, 0xABBF)),
+    "Khmer": ((0x1780, 0x17FF),),
+    "Mongolian": ((0x1800, 0x18AF),),
+    "Kana": ((0x3041, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)),
+    "Han": ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
+    "Hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)),
+}
+N_SCRIPTS = len(SCRIPTS) + 1
+"""Scripts are numbered from 1 in this order; 0 is none. The script of a word is the highest number among its characters."""
+_RANGES = sorted((first, last, i) for i, ranges in enumerate(SCRIPTS.values(), 1) for first, last in ranges)
+_FIRST, _LAST, _SCRIPT = (np.array(x, np.uint32) for x in zip(*_RANGES, strict=True))
+_ASCII = np.zeros(256, np.uint8)
+_ASCII[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+
+
+def scripts_of(data: np.ndarray) -> np.ndarray:
+    """The script of each character of UTF-8 bytes, at its first byte; 0 elsewhere."""
+    out = _ASCII[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        b = np.concatenate([data, np.zeros(3, np.uint8)])
+        byte = lambda i: b[lead + i].astype(np.uint32)
+        tail = lambda i: byte(i) & np.uint32(63)
+        two, three = (byte(0) & np.uint32(31)) << np.uint32(6) | tail(1), (byte(0) & np.uint32(15)) << np.uint32(12) | tail(1) << np.uint32(6) | tail(2)
+        four = (byte(0) & np.uint32(7)) << np.uint32(18) | tail(1) << np.uint32(12) | tail(2) << np.uint32(6) | tail(3)
+        code = np.where(byte(0) < 0xE0, two, np.where(byte(0) < 0xF0, three, four))
+        at = np.searchsorted(_FIRST, code, "right") - 1
+        out[lead] = np.where((at >= 0) & (code <= _LAST[at]), _SCRIPT[at], 0)
+    return out
 
 
 def _grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +90,7 @@ def _grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _scripts(w: Words, begin: np.ndarray) -> np.ndarray:
     """The script of each word; 0 without a letter."""
-    return np.maximum.reduceat(SCRIPT[w.data[_inside(w)]], begin) if len(begin) else np.zeros(0, np.uint8)
+    return np.maximum.reduceat(scripts_of(w.data)[_inside(w)], begin) if len(begin) else np.zeros(0, np.uint8)
 
 
 def _inside(w: Words) -> np.ndarray:
@@ -52,9 +100,9 @@ def _inside(w: Words) -> np.ndarray:
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Words]]:
     data, offsets = buffers(batch["text"])
-    for lo, hi in chunks(offsets, PART_BYTES):
+    for lo, hi in chunks(offsets):  # only the scores of a chunk are in memory
         o = offsets[lo : hi + 1]
-        yield lo, hi, Words(data[o[0] : o[-1]], o - o[0], NOT_SPACE, True)
+        yield lo, hi, Words(data[o[0] : o[-1]], o - o[0], NOT_SPACE, True, hashes=False)
 
 
 class Model:

@@ -44,17 +44,29 @@ SYMBOL = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
+    """BASE**i and BASE**-i modulo 2**64 for i < n. Those of a chunk are kept, not those of a longer text."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16)
+        size = max(n, CHUNK_BYTES + (1 << 16))
         up, down = np.full(size, BASE, U), np.full(size, pow(BASE, -1, 1 << 64), U)
         up[0] = down[0] = 1
         np.cumprod(up, out=up)
         np.cumprod(down, out=down)
+        if size > 4 * CHUNK_BYTES:
+            return up[:n], down[:n]
         _powers.update(up=up, down=down)
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def scratch(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays to work in until the next call; those of a chunk's size are kept."""
+    if n > 4 * CHUNK_BYTES:
+        return np.empty(n, U), np.empty(n, U)
+    if len(_powers.get("one", ())) < n:
+        size = max(n, CHUNK_BYTES + (1 << 16))
+        _powers.update(one=np.empty(size, U), two=np.empty(size, U))
+    return _powers["one"][:n], _powers["two"][:n]
+
+
 class Rolling:
     """Hashes of any stretch of a symbol sequence, by differences of prefix sums."""
 
@@ -117,12 +129,12 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """The words of several documents: byte ranges, document numbers and hashes."""
+    """The words of several documents: byte ranges, document numbers and, unless turned off, hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool, hashes: bool = True) -> None:
         if lower:
-            data = LOWER[data]
-        word = table[data]
+            data = np.take(LOWER, data)
+        word = np.take(table, data)
         inner = offsets[:-1][offsets[:-1] < len(data)]
         before = np.empty_like(word)
         if len(word):
@@ -138,14 +150,19 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.n_docs), self.counts)
+        if not hashes:
+            return
         size = self.ends - self.starts
         if not len(size):
             self.hash = np.zeros(0, U)
             return
-        begin = np.cumsum(size) - size
-        place = np.arange(begin[-1] + size[-1]) - np.repeat(begin, size)
-        up, _ = powers(int(size.max()) + 1)
-        self.hash = mix(np.add.reduceat(SYMBOL[data[word]] * up[place], begin) ^ size.astype(U))
+        up, down = powers(len(data) + 1)
+        sums, product = scratch(len(data) + 1)
+        np.take(SYMBOL, data, out=product[1:], mode="clip")
+        np.multiply(product[1:], up[: len(data)], out=product[1:])
+        sums[0] = 0
+        np.cumsum(product[1:], out=sums[1:])
+        self.hash = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] ^ size.astype(U))
 
     def windows(self, n: int) -> np.ndarray:
         """Flags of the word positions at which n words of one document start; as long as Rolling.all(n)."""
@@ -154,6 +171,12 @@ class Words:
         return self.doc[: len(self.doc) - n + 1] == self.doc[n - 1 :]
 
 
+def grouped_order(group: np.ndarray, key: np.ndarray, n_groups: int) -> np.ndarray:
+    """The order by group, then key. Few groups are dealt out by a radix sort, which numpy has for 16 bits."""
+    order = np.argsort(key)
+    return order[np.argsort(group[order].astype(np.uint16 if n_groups <= 1 << 16 else np.int64), kind="stable")]
+
+
 def cover(starts: np.ndarray, n: np.ndarray | int, size: int) -> np.ndarray:
     """Flags of the positions in any [start, start + n)."""
     edge = np.zeros(size + 1, np.int64)
