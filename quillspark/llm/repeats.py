@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import partitions
+from quillspark.llm.shared import Bitmap, partitions, saved
 from quillspark.llm.text import U, buffers, chunks, cover, mix, numbers
 
 BLOCK_BITS = 20
@@ -28,7 +28,8 @@ class Sketch:
 
     @staticmethod
     def cells(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """The two cells of each value; the second row lies behind the first."""
+        """The two cells of each value; the second row lies behind the first. Mixed first, as minima of hashes are small."""
+        values = mix(values)
         return (values >> U(64 - bits)).astype(np.uint32), (((values * U(0xC2B2AE3D27D4EB4F)) >> U(64 - bits)) | U(1 << bits)).astype(np.uint32)
 
     def maybe_repeated(self, values: np.ndarray) -> np.ndarray:
@@ -108,9 +109,41 @@ def build_sketch(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np
     return Sketch(bits, table.ravel())
 
 
+def rarity_counts(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
+    """How many values fall in each of 2**bits ranges, over all rows: tasks' counters are added up block by block."""
+    spark, block_bits = rows.sparkSession, 14
+    n_blocks = 1 << (bits - block_bits)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for found in values(batch):
+                counts += np.bincount((found >> U(64 - bits)).astype(np.int64), minlength=len(counts))
+        parts = counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64).reshape(n_blocks, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_blocks, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, blob in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                part = np.frombuffer(blob, np.uint32 if len(blob) == 4 << block_bits else np.uint64).astype(np.int64)
+                total[block] = total.get(block, 0) + part
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+
+    tasks = min(n_blocks, partitions(spark))
+    found = rows.mapInArrow(local, "block int, counts binary").repartitionById(tasks, F.col("block") % tasks).mapInArrow(add, "block int, counts binary").collect()
+    out = np.zeros((n_blocks, 1 << block_bits), np.int64)
+    for r in found:
+        out[r.block] = np.frombuffer(r.counts, np.int64)
+    return out.ravel()
+
+
 RECORDS = "bucket int, records binary"
 MARK = np.dtype([("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
 """n windows from position `at` of a document are to go."""
+SUBS = 16
+"""An owner gets its keys in so many buckets, one after another, and holds one at a time."""
 
 
 def runs(rows: np.ndarray) -> np.ndarray:
@@ -141,9 +174,40 @@ def pack(bucket: np.ndarray, records: np.ndarray, least: int = 1) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "records"])
 
 
+def owned_bucket(key: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of a key (64 bits, mixed): owner * SUBS + one of the owner's buckets."""
+    return ((key % U(n)) * U(SUBS) + (key // U(n)) % U(SUBS)).astype(np.int32)
+
+
+def passed_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks that are on their way to a document's bucket b, as bucket -1 - b: they pass through a grouping step unread."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - batch["bucket"].to_numpy(), pa.int32()), batch["records"]], names=["bucket", "records"])
+
+
 def to_owners(rows: DataFrame, n: int) -> DataFrame:
-    """Deals packed rows to the task of their bucket; -1 - b stands for bucket b, too."""
-    return rows.repartitionById(n, F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")))
+    """Deals packed rows to the task of their bucket, sorted by bucket; -1 - b goes to task b."""
+    owner = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.expr(f"cast(bucket div {SUBS} as int)"))
+    return rows.repartitionById(n, owner).sortWithinPartitions("bucket")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | list[pa.Buffer]]:
+    """From an owner's sorted rows: batches of marks that pass through, under their own bucket, and the records of each bucket in turn."""
+    held: list[pa.Buffer] = []
+    last = -1
+    for batch in batches:
+        bucket = batch["bucket"].to_numpy()
+        n = int(np.searchsorted(bucket, 0))
+        if n:
+            yield from passed_on([batch.slice(0, n)])
+        for b, x in zip(bucket[n:].tolist(), batch["records"].slice(n), strict=True):
+            if b != last and held:
+                yield held
+                held = []
+            last = b
+            held.append(pa.py_buffer(x.as_buffer().to_pybytes()))  # the batch's memory isn't kept
+    if held:
+        yield held
 
 
 def unpack(batch: pa.RecordBatch, dtype: np.dtype) -> list[np.ndarray]:
@@ -155,11 +219,18 @@ def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def with_marks(documents: DataFrame, marks: DataFrame, n_buckets: int, finish: Callable[[pa.RecordBatch, dict[int, np.ndarray]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Brings the marks of documents to their texts: both are dealt by a hash of doc_id, marks come first in a task.
+    """Brings the marks of documents to their texts; finish(batch of doc_id and text, marks by doc_id) gives the result's batches.
 
-    finish(batch of doc_id and text, marks by doc_id) gives the result's batches. A null doc_id has no marks.
+    Only texts that have marks move (by a bitmap of bounded size): they and their marks are dealt by a hash of doc_id, marks come first
+    in a task. All other texts are finished where they are. A null doc_id has no marks.
     """
 
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(x["doc"]) for x in unpack(batch, MARK)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["doc_id"])
+
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["doc_id"]
@@ -180,10 +251,17 @@ def with_marks(documents: DataFrame, marks: DataFrame, n_buckets: int, finish: C
                     held = []
                 yield from finish(batch.slice(n), by)
 
-    left = documents.select("doc_id", "text").mapInArrow(bucketed, "bucket int, doc_id bigint, text string, records binary")
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from finish(batch, {})
+
+    source = documents.select("doc_id", "text")
+    marked_ids = saved(marks.mapInArrow(ids, "doc_id bigint").distinct(), "marked")
+    bitmap = Bitmap(marked_ids, marked_ids.count())
+    left = source.filter(bitmap.may_have("doc_id")).mapInArrow(bucketed, "bucket int, doc_id bigint, text string, records binary")
     right = marks.select("bucket", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), "records")
     dealt = left.unionByName(right).repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions(F.col("records").isNull())
-    return dealt.mapInArrow(joined, schema)
+    return source.filter(~bitmap.may_have("doc_id")).mapInArrow(alone, schema).unionByName(dealt.mapInArrow(joined, schema))
 
 
 def _by_doc(held: list[np.ndarray]) -> dict[int, np.ndarray]:

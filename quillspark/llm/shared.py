@@ -45,12 +45,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of what is written when the driver has no reference to them left
