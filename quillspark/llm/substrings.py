@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.repeats import MARK, RECORDS, build_sketch, doc_bucket, marked, pack, runs, text_values, to_owners, unpack, with_marks
+from quillspark.llm.repeats import RECORDS, build_sketch, by_bucket, doc_bucket, marked, owned_bucket, pack, passed_on, runs, text_values, to_owners, with_marks
 from quillspark.llm.shared import partitions, saved
-from quillspark.llm.text import NOT_SPACE, U, Rolling, Words, buffers, chunks, numbers, window_min
+from quillspark.llm.text import NOT_SPACE, U, Rolling, Words, buffers, chunks, mix, numbers, window_min
 
 WINDOW, GRAM, SKETCH_BITS = 13, 6, 27
+SECOND = 0x632BE59BD9B4E019
 FLUSH = 2_000_000
-SEEN = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("at", "<u4")])
+SEEN = np.dtype([("hash", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("at", "<u4")])
+"""A window: 128 bits of hashes of its words, and where it starts."""
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string"
 
 
@@ -33,7 +35,7 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW, gram: int = GR
     Words are `[^\\x20\\x09-\\x0D]+`. A window's key in the sketch is the least of its `gram`-gram hashes, a function
     of its words alone; a partition adds a key once for each stretch of windows that share the gram. So equal windows
     in two documents count two at least, and the sketch never estimates less than the true number of documents.
-    The second pass groups exactly (by 64-bit window hash) only windows that are estimated to repeat. Each task first
+    The second pass groups exactly (by 128 bits, two independent hashes of the words) only windows that are estimated to repeat. Each task first
     keeps just the smallest doc_id of a window it has met, which resolves the later ones on the spot: a window that a
     third of all rows share reaches its group once per task. 2**(sketch_bits + 1) bits go out to the executors; on far
     larger inputs the sketch fills up and more windows are grouped, none is lost.
@@ -67,7 +69,8 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW, gram: int = GR
                 at, least = _least(w, gram, window)
                 at = at[shared.value.maybe_repeated(least)]
                 rows = np.empty(len(at), SEEN)
-                rows["hash"], rows["doc"], rows["at"] = Rolling(w.hash).at(at, window), ids[lo:hi][w.doc[at]], at - w.first[w.doc[at]]
+                rows["hash"], rows["more"] = Rolling(w.hash).at(at, window), Rolling(mix(w.hash ^ U(SECOND))).at(at, window)
+                rows["doc"], rows["at"] = ids[lo:hi][w.doc[at]], at - w.first[w.doc[at]]
                 held.append(rows)
                 size += len(rows)
                 if size > FLUSH:
@@ -78,23 +81,18 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW, gram: int = GR
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows, later = _split(np.concatenate(held))
-        yield from pack((rows["hash"] % U(n)).astype(np.int32), rows)
+        yield from pack(owned_bucket(rows["hash"], n), rows)
         later = runs(later)
-        for batch in pack(doc_bucket(later["doc"], n), later):
-            yield pa.RecordBatch.from_arrays([pa.array(-1 - batch["bucket"].to_numpy()), batch["records"]], names=["bucket", "records"])
+        yield from passed_on(pack(doc_bucket(later["doc"], n), later))
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            passed = batch["bucket"].to_numpy() < 0
-            if passed.any():
-                done = batch.filter(pa.array(passed))
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - done["bucket"].to_numpy()), done["records"]], names=["bucket", "records"])
-            held.extend(x.copy() for x in unpack(batch.filter(pa.array(~passed)), SEEN))
-        if held:
-            _, later = _split(np.concatenate(held))
-            later = runs(later)
-            yield from pack(doc_bucket(later["doc"], n), later)
+        for found in by_bucket(batches):
+            if isinstance(found, pa.RecordBatch):
+                yield found
+            else:
+                _, later = _split(np.concatenate([np.frombuffer(x, SEEN) for x in found]))
+                later = runs(later)
+                yield from pack(doc_bucket(later["doc"], n), later)
 
     marks = saved(to_owners(named.mapInArrow(emit, RECORDS), n).mapInArrow(group, RECORDS), "marks")
 
@@ -116,8 +114,8 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW, gram: int = GR
 
 def _split(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows of each window's smallest document, and the rest."""
-    order = np.lexsort((rows["at"], rows["doc"], rows["hash"]))
+    order = np.lexsort((rows["at"], rows["doc"], rows["more"], rows["hash"]))
     rows = rows[order]
-    new = np.append(True, rows["hash"][1:] != rows["hash"][:-1])
+    new = np.append(True, (rows["hash"][1:] != rows["hash"][:-1]) | (rows["more"][1:] != rows["more"][:-1]))[: len(rows)]
     least = rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
     return rows[rows["doc"] == least], rows[rows["doc"] != least]

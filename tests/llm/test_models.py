@@ -34,6 +34,70 @@ def test_viterbi_is_the_plain_one():
             assert worth(found[f : f + c].tolist()) == pytest.approx(worth(path), abs=1e-4)
 
 
+def test_scripts_of_characters():
+    text = "aZ é ß ×÷ Ж λ א ع ह বাংলা த ไ ひ漢 한 ắ 𠀀 1!"
+    found = language.scripts_of(np.frombuffer(text.encode(), np.uint8))
+    names = ["", *language.SCRIPTS]
+    at, got = 0, []
+    for c in text:
+        got.append((c, names[found[at]]))
+        assert not found[at + 1 : at + len(c.encode())].any()
+        at += len(c.encode())
+    expected = dict.fromkeys("aZéßắ", "Latin") | {"Ж": "Cyrillic", "λ": "Greek", "א": "Hebrew", "ع": "Arabic", "ह": "Devanagari", "த": "Tamil", "ไ": "Thai", "ひ": "Kana", "漢": "Han", "한": "Hangul", "𠀀": "Han"} | dict.fromkeys("বাংলা", "Bengali")
+    assert got == [(c, expected.get(c, "")) for c in text]
+
+
+def test_scripts_keep_languages_apart(spark):
+    """Languages of different scripts, also where UTF-8's first bytes are the same."""
+    texts = {"hi": "यह हिन्दी है और यह भी", "bn": "এটা বাংলা ভাষা এবং এটাও", "ta": "இது தமிழ் மொழி இதுவும்", "th": "นี่คือ ภาษา ไทย", "vi": "đây là tiếng việt những", "ja": "これは にほんご です", "zh": "这是 中文 句子"}
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts.items())], "doc_id bigint, text string, lang string")
+    model = language.fit(df)
+    tests = [(0, "हिन्दी"), (1, "ভাষা"), (2, "மொழி"), (3, "ไทย"), (4, "tiếng"), (5, "です"), (6, "中文"), (7, "ক"), (8, "ฮ")]
+    found = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(tests, "doc_id bigint, text string"), model).collect()}
+    assert [found[i] for i in range(9)] == ["hi", "bn", "ta", "th", "vi", "ja", "zh", "bn", "th"]
+
+
+def test_language_is_the_plain_one(spark):
+    """Scores, labels, prediction and share against plain Python over the same counts."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("der hund und die katze", "de"), ("le chat est sur la table", "fr"), ("это кошка", "ru"), ("the dog and the hat", "en")])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit(df)
+    langs = sorted({lang for _, _, lang in rows})
+    bucket = lambda a, b, c: (((a << 16 | b << 8 | c) * 2654435761) & 0xFFFFFFFF) >> (32 - language.BUCKETS)
+    grams = lambda w: [bucket(*x) for x in zip(b" " + w, w, w[1:] + b" ", strict=False)]
+    script = lambda w: int(language.scripts_of(np.frombuffer(w, np.uint8)).max())
+    words = lambda t: brute.BLANK.findall(brute.raw(t).translate(brute.UPPER))
+    count = {lang: np.full(1 << language.BUCKETS, language.SMOOTH) for lang in langs}
+    seen = np.zeros((language.N_SCRIPTS, len(langs)))
+    for _, t, lang in rows:
+        for w in words(t):
+            if script(w):
+                seen[script(w), langs.index(lang)] += 1
+                for g in grams(w):
+                    count[lang][g] += 1
+    logs = np.stack([np.log(count[x] / count[x].sum()) for x in langs], 1)
+    ratio = logs - logs.mean(1, keepdims=True)
+
+    def score(w):
+        s = script(w)
+        if not s:
+            return np.zeros(len(langs))
+        x = np.clip(sum(ratio[g] for g in grams(w)), -language.CAP, language.CAP)
+        here = seen[s] >= language.LEAST_SHARE * np.maximum(seen.sum(0), 1e-9)
+        return x + (np.where(here, 0, language.OUT) if seen[s].sum() and here.any() else 0)
+
+    tests = [(0, "the hat und die katze"), (1, "chat 12 table кошка"), (2, "zzz"), (3, "der hund the cat the mat le chat")]
+    found = {r.doc_id: r for r in language.identify(spark.createDataFrame(tests, "doc_id bigint, text string"), model, penalty=1.5, with_spans=True).collect()}
+    for i, t in tests:
+        w = words(t)
+        scores = np.stack([score(x) for x in w])
+        path = brute.plain_viterbi(scores, 1.5)
+        votes = np.bincount([p for p, x in zip(path, w, strict=True) if script(x)], minlength=len(langs))
+        best = max(range(len(langs)), key=lambda k: (votes[k], scores[:, k].sum()))
+        assert (found[i].lang_pred, found[i].score) == (langs[best], pytest.approx(votes[best] / votes.sum()))
+        assert [s.lang for s in found[i].spans for _ in range(s.words)] == [langs[p] for p in path]
+
+
 def test_language_edges(spark):
     rows = [(1, "the cat sat on the mat with the hat", "en"), (2, "der hund und die katze auf der matte", "de"), (3, "это русский текст о кошке", "ru"), (4, None, "en"), (5, "123 !!! €", None), (6, "", "de")] * 2
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
@@ -50,6 +114,23 @@ def test_language_edges(spark):
     assert language.identify(df.limit(0), model).count() == 0
 
 
+def test_more_languages_than_a_byte_can_name(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + (i * 7 + j) % 26)}x{i}" for j in range(30)), f"l{i:03}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = language.identify(df, language.fit(df), keep=["lang"]).collect()
+    assert sum(r.lang == r.lang_pred for r in found) > 190
+
+
+def test_kept_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "the cat sat", "en", 7, 0.5)], "doc_id bigint, text string, lang string, lang_pred int, score double")
+    model = language.fit(df)
+    found = language.identify(df, model, keep=df.columns)
+    assert found.columns == ["doc_id", "lang_pred", "score", "kept_doc_id", "text", "lang", "kept_lang_pred", "kept_score"]
+    assert tuple(found.first())[3:] == (1, "the cat sat", "en", 7, 0.5)
+    rated = quality.rate(df, quality.fit(df, spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")), keep=["score"])
+    assert (rated.columns, rated.first().kept_score) == (["doc_id", "score", "predicted", "kept_score"], 0.5)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = QUERIES["op4_language_id"](spark, DATA).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
@@ -145,6 +226,11 @@ RECORDS = [
     (8, "not json", None, [(None, None)]),
     (9, None, None, [(None, None)]),
     (10, '{"turns": [{"speaker": "bot", "text": "t"}]}', "turns", [("assistant", "t")]),
+    (11, '{"id": 5, "messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": "b"}, {"role": "tool"}]}', "messages", [("user", "a"), ("assistant", "b"), ("tool", None)]),
+    (12, '{"messages": []}', "messages", [(None, None)]),
+    (13, '{"prompt": "p", "response": "r", "id": 1, "system": null}', "system_prompt", [("system", ""), ("user", "p"), ("assistant", "r")]),
+    (14, '{"messages": "text", "prompt": "p", "completion": "c"}', "completion", [("user", "p"), ("assistant", "c")]),
+    (15, '{"messages": [1, 2]}', None, [(None, None)]),
 ]
 
 
@@ -157,4 +243,9 @@ def test_layouts(spark):
     with pytest.raises(ValueError, match="no mapping"):
         chat.canonical(spark.range(1))
     assert chat.fingerprint({"a": "text", "b": ["text"]}) == chat.fingerprint({"b": ["text"], "a": "text"}) != chat.fingerprint({"a": "text"})
-    assert df.limit(1).select(chat.json_fingerprint(F.try_parse_json("record")).alias("f")).first().f == chat.fingerprint(chat.LISTS["messages"][0])
+    assert {r.conv_id: r.reject_reason for r in chat.rejects(df).collect()} == {7: "no mapping", 8: "not JSON", 9: "not JSON", 15: "no mapping"}
+    formatted = {r.conv_id: r for r in chat.format_turns(chat.canonical(df)).collect()}
+    assert set(formatted) == {i for i, _, layout, _ in RECORDS if layout}
+    assert (formatted[12].formatted, formatted[12].loss_spans) == ("", [])
+    same = spark.createDataFrame([(1, 0, "human", "x"), (1, 0, "human", "x")], "conv_id bigint, turn bigint, role string, text string")
+    assert [r.role for r in chat.canonical(same).collect()] == ["human", "human"]  # rows keep their roles
