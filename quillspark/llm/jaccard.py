@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.repeats import build_sketch, pack, to_owners, unpack
+from quillspark.llm.repeats import Sketch, build_sketch, by_bucket, owned_bucket, pack, to_owners
 from quillspark.llm.shared import partitions, saved
 from quillspark.llm.text import NOT_SPACE, U, Rolling, Words, buffers, chunks, grouped_order, mix, numbers
 
@@ -101,19 +101,19 @@ def _levels(survey: DataFrame) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(counts, 1) / max(counts.mean(), 1))) - 1, 0, 31).astype(np.uint8)
 
 
-def _postings(source: DataFrame, levels: Broadcast, n: int, num: int, den: int, buckets: int) -> DataFrame:
-    """Prefixes of the sets in order of rarity, dealt by token; of equal sets in a task only the first."""
+def _postings(source: DataFrame, levels: Broadcast, n: int, num: int, den: int, buckets: int, asked: Broadcast | None = None) -> DataFrame:
+    """Prefixes of the sets in order of rarity, dealt by token; of equal sets in a task only the first, and those that are asked for."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[bytes] = set()  # at most a signature for each row of the task
         for batch in batches:
             ids = numbers(batch["doc_id"])
+            always = np.zeros(len(ids), bool) if asked is None else asked.value.maybe_repeated(mix(ids.view(U)))
             for lo, hi, s in _sets(batch, n):
                 fresh = np.zeros(hi - lo, bool)
                 for i, sign in enumerate(s.sign):
-                    if s.size[i] and (key := sign.tobytes()) not in seen:
-                        if len(seen) < 1_000_000:
-                            seen.add(key)
+                    if s.size[i] and ((key := sign.tobytes()) not in seen or always[lo + i]):
+                        seen.add(key)
                         fresh[i] = True
                 key = (levels.value[(s.token >> U(58 - COUNTER_BITS)).astype(np.int64)].astype(U) << U(58)) | s.token
                 order = grouped_order(s.doc, key, hi - lo)
@@ -123,7 +123,7 @@ def _postings(source: DataFrame, levels: Broadcast, n: int, num: int, den: int,
                 prefix = (place <= size - -(-num * size // den)) & fresh[doc]
                 rows = np.empty(int(prefix.sum()), POSTING)
                 rows["token"], rows["doc"], rows["size"], rows["at"] = s.token[order][prefix], ids[lo:hi][doc[prefix]], size[prefix], place[prefix]
-                yield from pack((mix(rows["token"]) % U(buckets)).astype(np.int32), rows)
+                yield from pack(owned_bucket(mix(rows["token"]), buckets), rows)
 
     return to_owners(source.mapInArrow(scan, "bucket int, records binary"), buckets)
 
@@ -132,30 +132,32 @@ def _groups(postings: DataFrame, num: int, den: int) -> DataFrame:
     """(hub, doc): every list of a token names its least document as hub. Two documents that share a token meet at its hub."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [x.copy() for batch in batches for x in unpack(batch, POSTING)]
-        if not held:
-            return
-        r = np.concatenate(held)
-        r = r[np.lexsort((r["size"], r["token"]))]
-        same = r["token"][1:] == r["token"][:-1]
-        a, b = r[:-1], r[1:]  # neighbours by size: who can't link with either, links with nobody in the list
-        total = a["size"].astype(np.int64) + b["size"]
-        near = same & (num * b["size"].astype(np.int64) <= den * a["size"].astype(np.int64))
-        pair = same & ~np.append(False, same[:-1]) & ~np.append(same[1:], False)  # lists of two: their places decide, too
-        near &= ~pair | (np.minimum(a["size"] - a["at"], b["size"] - b["at"]) >= needed(total, num, den))
-        r = r[np.append(near, False) | np.append(False, near)]
-        if not len(r):
-            return
-        new = np.append(True, r["token"][1:] != r["token"][:-1])
-        hub = np.minimum.reduceat(r["doc"], np.flatnonzero(new))[np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([hub, r["doc"]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["hub", "doc"])
+        for held in by_bucket(batches):
+            pairs = _hub_pairs(np.concatenate([np.frombuffer(x, POSTING) for x in held]), num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["hub", "doc"])
 
     found = postings.mapInArrow(lists, "hub bigint, doc bigint").distinct()
     sizes = found.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1")
     return found.join(sizes, "hub").select("hub", "doc", "n")
 
 
+def _hub_pairs(r: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Pairs (hub, doc) of a bucket's lists."""
+    r = r[np.lexsort((r["size"], r["token"]))]
+    same = r["token"][1:] == r["token"][:-1]
+    a, b = r[:-1], r[1:]  # neighbours by size: who can't link with either, links with nobody in the list
+    total = a["size"].astype(np.int64) + b["size"]
+    near = same & (num * b["size"].astype(np.int64) <= den * a["size"].astype(np.int64))
+    pair = same & ~np.append(False, same[:-1]) & ~np.append(same[1:], False)  # lists of two: their places decide, too
+    near &= ~pair | (np.minimum(a["size"] - a["at"], b["size"] - b["at"]) >= needed(total, num, den))
+    r = r[np.append(near, False) | np.append(False, near)]
+    if not len(r):
+        return np.zeros((0, 2), np.int64)
+    new = np.append(True, r["token"][1:] != r["token"][:-1])
+    hub = np.minimum.reduceat(r["doc"], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return np.unique(np.stack([hub, r["doc"]], 1), axis=0)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each key, from sorted batches."""
     held: list[pa.RecordBatch] = []
@@ -179,6 +181,14 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def _may_link(s: int, x: int, w: int, t: int, y: int, v: int, num: int, den: int) -> bool:
+    """Whether sets of sizes s <= t may link, from parities x in w cells and y in v >= w cells: they differ in as many elements at least."""
+    while v > w:
+        v >>= 1
+        y = (y ^ (y >> v)) & ((1 << v) - 1)
+    return (x ^ y).bit_count() <= s + t - 2 * needed(s + t, num, den)
+
+
 def _survivors(groups: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (hub, doc) that may link, by a bound from sizes and parities, as far as they connect more of a group.
 
@@ -199,10 +209,7 @@ def _survivors(groups: DataFrame, info: DataFrame, num: int, den: int) -> DataFr
                         break
                     if forest.root(i) == forest.root(j):
                         continue
-                    while v > w:
-                        v >>= 1
-                        y = (y ^ (y >> v)) & ((1 << v) - 1)
-                    if (x ^ y).bit_count() <= s + t - 2 * needed(s + t, num, den):
+                    if _may_link(s, x, w, t, y, v, num, den):
                         forest.join(i, j)
                         hubs.append(a)
                         docs.append(b)
@@ -225,14 +232,19 @@ def _clusters(survivors: DataFrame) -> DataFrame:
     return found.join(hubs, "component").join(sizes, "component").select("doc", "hub", "n")
 
 
-def _members(source: DataFrame, clusters: DataFrame) -> DataFrame:
-    """hub, block, doc, n and text of the clusters' documents; only these are shuffled (by a bitmap of fixed size)."""
-    spark = source.sparkSession
+def _doc_sketch(docs: DataFrame) -> Sketch:
+    """Documents (column doc) as a bitmap of fixed size."""
 
     def ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield mix(np.unique(batch["doc"].to_numpy(zero_copy_only=False)).view(U))
 
-    wanted = spark.sparkContext.broadcast(build_sketch(clusters.select("doc"), ids, DOC_BITS, 1))
+    return build_sketch(docs.select("doc"), ids, DOC_BITS, 1)
+
+
+def _members(source: DataFrame, clusters: DataFrame) -> DataFrame:
+    """hub, block, doc, n and text of the clusters' documents; only these are shuffled (by a bitmap of fixed size)."""
+    spark = source.sparkSession
+    wanted = spark.sparkContext.broadcast(_doc_sketch(clusters.select("doc")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,15 +258,15 @@ def _members(source: DataFrame, clusters: DataFrame) -> DataFrame:
     return clusters.join(texts, "doc").withColumn("block", F.explode(blocks)).select("hub", "block", "doc", "n", "text")
 
 
-def _read(group: pa.Table, n: int) -> tuple[list[int], list[np.ndarray], list[int]]:
-    """Documents, sets and row numbers of a group; a repeated doc_id counts once."""
+def _read(group: pa.Table, n: int) -> tuple[list[int], list[np.ndarray]]:
+    """Documents and sets of a group; a repeated doc_id counts once."""
     rows = list({d: i for i, d in reversed(list(enumerate(group["doc"].to_pylist())))}.values())[::-1]
     group = group.take(rows)
     sets: list[np.ndarray] = []
     for batch in group.select(["text"]).combine_chunks().to_batches():
         for _, _, s in _sets(batch, n):
             sets += [s.token[f : f + k].copy() for f, k in zip(s.first, s.size, strict=True)]
-    return group["doc"].to_pylist(), sets, rows
+    return group["doc"].to_pylist(), sets
 
 
 class Block:
@@ -353,22 +365,24 @@ def _connect(block: Block, start: int) -> tuple[list[tuple[int, int]], Forest]:
                 ask(i)
 
 
-def _links(source: DataFrame, clusters: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["kind", "hub", "a", "b"])
+
+
+EDGES = "kind int, hub bigint, a bigint, b bigint"
+
+
+def _links(source: DataFrame, clusters: DataFrame, info: DataFrame, levels: Broadcast, shingle: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) that connect what the links of all clusters connect."""
     n = 2 * partitions(source.sparkSession)
-    schema = "kind int, hub bigint, a bigint, b bigint"
-    names = ["kind", "hub", "a", "b"]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=names)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Kind 0: edges; kind 1: members of a split cluster that their block doesn't connect with the hub."""
         out: list[tuple] = []
         for group in _runs(batches, ["hub", "block"]):
             hub, total = group["hub"][0].as_py(), group["n"][0].as_py()
-            docs, sets, _ = _read(group, shingle)
+            docs, sets = _read(group, shingle)
             block = Block(docs, sets, num, den)
             start = block.docs.index(hub)
             edges, forest = _connect(block, start)
@@ -376,38 +390,78 @@ def _links(source: DataFrame, clusters: DataFrame, shingle: int, num: int, den:
             if total > BLOCK:
                 out.extend((1, hub, d, None) for i, d in enumerate(block.docs) if forest.root(i) != forest.root(start))
             if len(out) > 10_000:
-                yield batch_of(out)
+                yield _batch_of(out)
                 out = []
-        yield batch_of(out)
+        yield _batch_of(out)
 
     members = _members(source, clusters)
-    first = saved(members.repartition(n, "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(within, schema), "links")
+    first = saved(members.repartition(n, "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(within, EDGES), "links")
     edges = first.filter("kind = 0").select("a", "b")
-    loose = saved(first.filter("kind = 1").select("hub", F.col("a").alias("doc")), "loose")
-    if loose.isEmpty():
-        return edges
-    # What a block doesn't connect with the hub, which is in all blocks of a split cluster, meets the other blocks.
-    large = saved(_members(source, clusters.join(loose.select("hub").distinct(), "hub", "left_semi").select("doc", "hub", "n")), "large")
-    copies = large.join(loose, ["hub", "doc"], "left_semi").withColumn("to", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / BLOCK) - 1).cast("int")))).filter("to <> block")
-    guests = copies.select("hub", F.col("to").alias("block"), "doc", "n", "text", F.lit(1).alias("guest"))
-    across = large.withColumn("guest", F.lit(0)).unionByName(guests)
-
-    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    loose = saved(first.filter("kind = 1").select(F.col("a").alias("doc")).distinct(), "loose")
+    return edges if loose.isEmpty() else edges.unionByName(_loose_links(source, loose, info, levels, shingle, num, den))
+
+
+def _loose_links(source: DataFrame, loose: DataFrame, info: DataFrame, levels: Broadcast, shingle: int, num: int, den: int) -> DataFrame:
+    """All links of the loose documents, through the lists of their prefixes: what passes the filters there is compared with them, and
+    nothing else. So the work is that of their candidates, not of pairs of blocks."""
+    spark = source.sparkSession
+    n = partitions(spark)
+    asked = spark.sparkContext.broadcast(_doc_sketch(loose))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in by_bucket(batches):
+            for part in _asked_pairs(np.concatenate([np.frombuffer(x, POSTING) for x in found]), asked.value, num, den):
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["hub", "doc"])
+
+    met = _postings(source, levels, shingle, num, den, n, asked).mapInArrow(pairs, "hub bigint, doc bigint").distinct()
+    side = lambda d, s: info.select(F.col("doc_id").alias(d), F.col("size").alias(f"{s}_size"), F.col("bits").alias(f"{s}_bits")).dropDuplicates([d])
+    both = met.join(side("hub", "x"), "hub").join(side("doc", "y"), "doc").select("hub", "doc", "x_size", "x_bits", "y_size", "y_bits")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for s, x, t, y in zip(*(batch[c].to_pylist() for c in ("x_size", "x_bits", "y_size", "y_bits")), strict=True):
+                (s, x), (t, y) = sorted(((s, x), (t, y)), key=lambda z: (z[0], len(z[1])))
+                good.append(_may_link(s, int.from_bytes(x, "little"), 8 * len(x), t, int.from_bytes(y, "little"), 8 * len(y), num, den))
+            yield batch.select(["hub", "doc"]).filter(pa.array(good, pa.bool_()))
+
+    left = saved(both.mapInArrow(test, "hub bigint, doc bigint"), "loose-pairs")
+    sizes = left.groupBy("hub").agg((F.count("*") + 1).alias("n"))
+    stars = left.join(sizes, "hub").select("doc", "hub", "n").unionByName(sizes.select(F.col("hub").alias("doc"), "hub", "n"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for group in _runs(batches, ["hub", "block"]):
             hub = group["hub"][0].as_py()
-            docs, sets, rows = _read(group, shingle)
-            flags = group["guest"].to_pylist()
-            asked = {d for d, i in zip(docs, rows, strict=True) if flags[i]}
-            block = Block(docs, sets, num, den)
-            forest = Forest(block.n)
-            for i, d in enumerate(block.docs):
-                if d in asked:
-                    out.extend((0, hub, d, block.docs[j]) for j in block.links(block.tokens[i], int(block.size[i])).tolist() if forest.join(i, j))
-        yield batch_of(out)
-
-    more = across.repartition(n, "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(between, schema)
-    return edges.unionByName(more.select("a", "b"))
+            block = Block(*_read(group, shingle), num, den)
+            i = block.docs.index(hub)
+            out.extend((0, hub, hub, block.docs[j]) for j in block.links(block.tokens[i], int(block.size[i])).tolist() if j != i)
+            if len(out) > 10_000:
+                yield _batch_of(out)
+                out = []
+        yield _batch_of(out)
+
+    members = _members(source, stars).repartition(2 * n, "hub", "block").sortWithinPartitions("hub", "block")
+    return saved(members.mapInArrow(ask, EDGES).select("a", "b"), "loose-links")
+
+
+def _asked_pairs(r: np.ndarray, asked: Sketch, num: int, den: int) -> Iterator[np.ndarray]:
+    """Pairs (asked document, other) of a bucket's lists that pass the length and positional filters."""
+    r = r[np.lexsort((r["size"], r["token"]))]
+    size, at = r["size"].astype(np.int64), r["at"].astype(np.int64)
+    key = (np.cumsum(np.append(False, r["token"][1:] != r["token"][:-1])) << 32) | size
+    want = np.flatnonzero(asked.maybe_repeated(mix(r["doc"].astype(np.int64).view(U))))
+    base = (key[want] >> 32) << 32
+    lo = np.searchsorted(key, base | -(-num * size[want] // den))
+    count = np.searchsorted(key, base | np.minimum(den * size[want] // num, (1 << 32) - 1), "right") - lo
+    total, a = np.append(0, np.cumsum(count)), 0
+    while a < len(want):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + 2_000_000, "right")) - 1)
+        i = np.repeat(want[a:b], count[a:b])
+        j = np.arange(len(i)) - np.repeat(total[a:b] - total[a], count[a:b]) + np.repeat(lo[a:b], count[a:b])
+        ok = (r["doc"][i] != r["doc"][j]) & (np.minimum(size[i] - at[i], size[j] - at[j]) >= needed(size[i] + size[j], num, den))
+        yield np.unique(np.stack([r["doc"][i[ok]], r["doc"][j[ok]]], 1), axis=0)
+        a = b
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -446,8 +500,8 @@ def link(documents: DataFrame, *, shingle: int = SHINGLE, numerator: int = NUMER
       size: lists are skipped to fitting sizes, and counts of a set are derived from those of the similar set before it.
       Only sets outside the largest tree of a block are asked for, as a link inside a tree adds nothing to components;
       every link between different trees is found.
-    - Clusters of more than BLOCK members are dealt to several tasks by blocks, the hub to each. Members that their block
-      doesn't connect with the hub then meet the cluster's other blocks; the rest is connected through the hub.
+    - Clusters of more than BLOCK members are dealt to several tasks by blocks, the hub to each. For members that their block
+      doesn't connect with the hub all links are found through the lists of their prefixes; the rest is connected through the hub.
     """
     spark = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -460,6 +514,6 @@ def link(documents: DataFrame, *, shingle: int = SHINGLE, numerator: int = NUMER
     clusters = saved(_clusters(survivors), "clusters")
     equal = info.filter("size > 0").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1")
     stars = info.join(equal, ["s1", "s2", "size"]).select(F.col("doc_id").alias("a"), "b")
-    found = components(_links(source, clusters, shingle, numerator, denominator).unionByName(stars))
+    found = components(_links(source, clusters, info, levels, shingle, numerator, denominator).unionByName(stars))
     rows = every.select("doc_id", F.col("size").cast("bigint").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
