@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import chat, decontaminate, exact, jaccard, language, lines, mixing, quality, substrings, suffixes
 from quillspark.llm.oracles import ORACLES
+from quillspark.llm.shared import saved
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +42,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns where the remainder by 5 is not 0, scores every document."""
     docs = _table(spark, sf_dir, "documents")
-    ranker = quality.fit(docs, _table(spark, sf_dir, "labels").filter(_fold(5) != 0))
-    return quality.rate(docs, ranker).withColumn("held_out", _fold(5) == 0)
+    labels = _table(spark, sf_dir, "labels").filter(_fold(5) != 0)
+    ranker = quality.fit(docs, labels)
+    scored = saved(quality.raw_scores(docs, ranker), "quality-scores")
+    return quality.rated(scored, ranker.calibrate(scored, labels)).withColumn("held_out", _fold(5) == 0)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

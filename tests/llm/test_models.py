@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import chat, language, mixing, quality
 from quillspark.llm.queries import QUERIES
-from quillspark.llm.text import Rolling, window_min
+from quillspark.llm.text import NOT_SPACE, Rolling, Words, window_min
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.01"
@@ -146,6 +146,45 @@ def test_quality_held_out(spark):
     assert all((r.score >= 0.3) == (r.predicted == 1) and 0 <= r.score <= 1 for r in found)
 
 
+def test_pair_loss_and_cut():
+    rng = np.random.default_rng(3)
+    score, good, bad = rng.normal(size=6), np.array([0, 1, 1, 5]), np.array([2, 3, 4, 4])
+    loss, slope = quality.pair_loss(score, good, bad)
+    plain = lambda s: sum(np.log1p(np.exp(s[b] - s[g])) for g, b in zip(good, bad, strict=True)) / 4
+    assert loss == pytest.approx(plain(score))
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-6
+        assert slope[i] == pytest.approx((plain(score + step) - plain(score - step)) / 2e-6, abs=1e-6)
+    g, b = rng.integers(0, 5, 20), rng.integers(0, 5, 20)
+    right = [g[k:].sum() / g.sum() + b[:k].sum() / b.sum() for k in range(21)]
+    assert right[quality.best_cut(g, b)] == pytest.approx(max(right))
+
+
+def test_scores_and_threshold_are_the_plain_ones(spark):
+    """Raw scores from features and a word-by-word sum; the threshold against every possible one."""
+    rows = [(i, ("good fine words here now " * (1 + i % 4) if i % 2 else "zz!! 99 ## zz " * (1 + i % 3)).strip(), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    ranker = quality.fit(df, df)
+    scored = quality.raw_scores(df, ranker)
+    raw = {r.doc_id: r.raw for r in scored.collect()}
+    for i, t, _ in rows[:6]:
+        b = np.frombuffer(t.encode(), np.uint8)
+        w = Words(b, np.array([0, len(b)]), NOT_SPACE, True)
+        w.raw = b
+        x = np.clip((quality.features(w, np.array([0, len(b)]))[0] - ranker.mean) / ranker.spread, -8, 8)
+        total = float(x @ ranker.w[: quality.N_FEATURES])
+        words = [w.hash[k] for k in range(len(w.hash))]
+        for h in [*words, *Rolling(w.hash).all(2)]:
+            cell = int(h) >> (64 - quality.HASH_BITS)
+            total += (1 - 2 * (int(h) & 1)) / (len(words) + quality.DAMPING) * ranker.w[quality.N_FEATURES + cell] / ranker.unit[cell]
+        assert raw[i] == pytest.approx(total, rel=1e-6, abs=1e-6)
+    ranker.calibrate(scored, df)
+    right = lambda cut: np.mean([raw[i] >= cut for i, _, q in rows if q]) + np.mean([raw[i] < cut for i, _, q in rows if not q])
+    assert right(ranker.threshold) == pytest.approx(max(right(c) for c in [*raw.values(), np.inf]))
+    out = quality.rate(df, ranker).collect()
+    assert all((r.score >= 0.3) == (r.predicted == 1) == (raw[r.doc_id] >= ranker.threshold) for r in out)
+
+
 def test_quality_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 20000), (3, "y")], "doc_id bigint, text string")
     ranker = quality.fit(df, spark.createDataFrame([(1, None), (2, 7)], "doc_id bigint, quality int"))
