@@ -73,8 +73,8 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, gram: int = GR
     Removed strings come back to the texts by doc_id. Bytes are judged on the input.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with_text, kept (bytes).
-    Null counts as empty; shorter texts than `length` lose nothing. doc_id should be unique: rows that repeat it are
-    taken for the same document. Rows with a null doc_id lose nothing and take nothing from others. Other columns are ignored.
+    Null counts as empty; shorter texts than `length` lose nothing. doc_id should be unique: rows that repeat it and
+    the text are taken for the same document, and each loses what one would. Rows with a null doc_id lose nothing and take nothing from others. Other columns are ignored.
     """
     spark = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -164,10 +164,14 @@ def _first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(True, (r["trigger"][1:] != r["trigger"][:-1]) | (r["phrase"][1:] != r["phrase"][:-1]))[: len(r)]
 
 
-def _as_marks(rows: np.ndarray) -> np.ndarray:
-    out = np.empty(len(rows), MARK)
+def _later_marks(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Marks of all but the first of equal phrases. A repeated row's phrase isn't later than itself."""
+    r = rows[order]
+    least = r[np.flatnonzero(first)][np.cumsum(first) - 1]
+    later = r[(r["doc"] != least["doc"]) | (r["at"] != least["at"])]
+    out = np.empty(len(later), MARK)
     for k in MARK.names:
-        out[k] = rows[k]
+        out[k] = later[k]
     return out
 
 
@@ -178,7 +182,7 @@ def _dictionary(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, l
     start = np.concatenate([s + b for (_, _, s), b in zip(held, base[:-1], strict=True)])
     order, first = _first(rows)
     if not with_bytes:
-        later = _as_marks(rows[order[~first]])
+        later = _later_marks(rows, order, first)
         yield from passed_on(pack(doc_bucket(later["doc"], n), later))
     rows, start = rows[order[first]], start[order[first]]
     bucket = owned_bucket(rows["trigger"], n)
@@ -196,7 +200,7 @@ def _later(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marks of all but the first of equal phrases, and the triggers that have several phrases."""
     order, first = _first(rows)
     trigger = rows["trigger"][order[first]]
-    return _as_marks(rows[order[~first]]), np.unique(trigger[1:][trigger[1:] == trigger[:-1]])
+    return _later_marks(rows, order, first), np.unique(trigger[1:][trigger[1:] == trigger[:-1]])
 
 
 def _repeated(rows: np.ndarray, text: np.ndarray, length: int, gram: int) -> np.ndarray:
