@@ -142,8 +142,8 @@ def rarity_counts(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterator[n
 RECORDS = "bucket int, records binary"
 MARK = np.dtype([("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
 """n windows from position `at` of a document are to go."""
-SUBS = 16
-"""An owner gets its keys in so many buckets, one after another, and holds one at a time."""
+SUBS = 4
+"""An owner gets its keys in so many buckets, one after another, and holds one at a time. Tasks send a row per bucket, so it is small."""
 
 
 def runs(rows: np.ndarray) -> np.ndarray:

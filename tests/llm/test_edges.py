@@ -58,7 +58,7 @@ def test_suffix_array_dedup(spark, rows):
     found, null = split(suffixes.remove_repeats(table(spark, rows), with_text=False).drop("kept").collect())
     assert found == brute.without_strings(rows)
     assert found[BIG + 3][1] > 0
-    assert found[16][1] == 199
+    assert found[16][1] == 299  # all but the first byte
     assert [n[1] for n in null] == [0, 0]
 
 
@@ -155,5 +155,5 @@ def test_pipeline(spark, rows, tmp_path):
         out = stage(spark, docs, str(tmp_path / "full"))
         assert out.columns == docs.columns
         assert out.count() <= docs.count()
-    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "full")).collect()} >= {BIG + 7}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "full")).collect()} == {BIG + 3}
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
