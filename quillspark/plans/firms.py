@@ -414,13 +414,13 @@ def annual_compounding(spark: SparkSession, d: str) -> DataFrame:
     return annual(spark, d).select("permco", "y", F.round("r", 6).alias("ret"), F.round("ri", 6).alias("idx"), F.round(F.col("r") - F.col("ri"), 6).alias("excess"), "months")
 
 
-SQL_AI = f"SELECT l_suppkey AS permco, year(l_shipdate) AS y, count(DISTINCT l_orderkey) AS n_all, count(DISTINCT l_orderkey) FILTER ({_rule_sql(RULES)}) AS n_ai FROM (SELECT l_suppkey, l_shipdate, l_orderkey, {_CODE} AS code FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity > 20) GROUP BY ALL"
+SQL_AI = f"SELECT l_suppkey AS permco, year(l_shipdate) AS y, count(DISTINCT l_orderkey) AS n_all, count(DISTINCT l_orderkey) FILTER ({_rule_sql(RULES)}) AS n_ai FROM (SELECT l_suppkey, l_shipdate, l_orderkey, {_CODE} AS code FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY ALL"
 SQL_BAL = f"""SELECT permco, y, coalesce(n_ai, 0) AS n_ai, coalesce(n_all, 0) AS n_all, n_ai / n_all AS ai_share, r, r - ri AS excess, CAST(y >= 2000 AS INT) AS truncated FROM (SELECT permco, y FROM (SELECT s_suppkey AS permco FROM supplier), (SELECT unnest(range(1995, 2003)) AS y)) LEFT JOIN ({SQL_AI}) USING (permco, y) LEFT JOIN ({SQL_ANNUAL}) USING (permco, y)"""
 
 
 def balanced(spark: SparkSession, d: str) -> DataFrame:
     """All firms and years: counts are 0 where there is nothing, returns stay missing."""
-    rows = table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 20").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     ai = RULES.matches(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")))
     n = rows.groupBy(F.col("l_suppkey").alias("permco"), F.year("l_shipdate").cast("bigint").alias("y")).agg(F.countDistinct("l_orderkey").alias("n_all"), F.countDistinct(F.when(ai, F.col("l_orderkey"))).alias("n_ai"))
     years = spark.range(1995, 2003).select(F.col("id").alias("y"))
