@@ -10,6 +10,8 @@ from quillspark.llm.shared import saved
 
 WEIGHTS = (3, 1, 2)
 SLOTS = 1 << 16
+BLOCK_WORDS = 1 << 20
+"""Least number of slots of a mix that is large enough, and words of a block at most: beyond their product there are more slots."""
 MOST = 2
 FINE = 256
 """Sources whose target is fewer blocks than this are filled exactly; for others the points' unevenness is a small part."""
@@ -96,12 +98,15 @@ def schedule(documents: DataFrame, *, n_slots: int = SLOTS, seed: str = "", weig
 
     The documents of a source are shuffled by a seeded hash and cut into blocks of equal tokens; a second pass through
     the source follows the first. The r-th slot of a source takes its block r. Blocks past MOST passes don't exist, so
-    no document is taken more often. At most n_slots blocks make up the mix at any scale, besides those of sources of fewer than
-    FINE blocks, which give exactly their target in words; small mixes have fewer, of one word each.
+    no document is taken more often. n_slots blocks make up the mix, or as many of BLOCK_WORDS words as it takes, besides those of
+    sources of fewer than FINE blocks, which give exactly their target in words; small mixes have fewer, of one word each.
     """
     spark = documents.sparkSession
     sizes = saved(_sizes(documents), "mix-sizes")
-    shares = saved(_limited(targets(sizes, weights), n_slots), "mix-targets")
+    shares = saved(targets(sizes, weights), "mix-targets")
+    total = shares.agg(F.max("total")).first()[0] or 0
+    n_slots = max(n_slots, -(-3 * int(total) // (2 * BLOCK_WORDS)))
+    shares = _limited(shares, n_slots)
     shuffled = sizes.withColumn("order", F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))).withColumn("part", F.substring("order", 1, 3))
     placed = _running(shuffled.filter("size > 0"), "part", ["order", "doc_id"], F.col("size")).join(shares, "key").withColumn("block_size", _block(n_slots))
     passes = placed.withColumn("at", F.explode(F.transform(F.array(*map(F.lit, range(MOST))), lambda p: F.col("before") + p * F.col("source_size"))))

@@ -92,10 +92,12 @@ def pair_loss(score: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[flo
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray) -> int:
-    """The edge k for which most is right when bins from k on are taken, good and bad ones weighing the same in all; the first of equals."""
-    above = 1 - np.append(0, np.cumsum(good)) / good.sum()
-    below = np.append(0, np.cumsum(bad)) / bad.sum()
-    return int((above + below).argmax())
+    """The edge k for which most is right when bins from k on are taken, good and bad ones weighing the same in all. Of neighbouring edges
+    that are equally good, which empty bins lie between, the middle one."""
+    right = 1 - np.append(0, np.cumsum(good)) / good.sum() + np.append(0, np.cumsum(bad)) / bad.sum()
+    first = int(right.argmax())
+    last = first + int(np.argmax(np.append(right[first:] < right[first] - 1e-12, True))) - 1
+    return (first + last) // 2
 
 
 class Ranker:

@@ -22,3 +22,13 @@ def test_tiny_sources(spark):
     last = max(r.slot for r in plan)
     assert all(0 < r.n <= 46 for r in plan)
     assert 0.3 < sum(r.slot for r in plan if r.key[1] == "t") / sum(r.key[1] == "t" for r in plan) / last < 0.7
+
+
+def test_large_mixes_have_more_slots(spark, monkeypatch):
+    """Blocks don't grow beyond their limit, whatever the number of words."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('w ', 100) AS text", "concat('s', id % 3) AS source")
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 50)
+    plan = mixing.schedule(docs, n_slots=64)[0].groupBy("slot").agg(F.sum("tokens").alias("n"), F.countDistinct("key").alias("keys")).collect()
+    assert max(r.n for r in plan) == 50
+    assert {r["keys"] for r in plan} == {1}
+    assert len(plan) == pytest.approx(45_000 / 50, rel=0.02)
