@@ -20,7 +20,7 @@ FIT_ROWS, MAX_PAIRS = 20_000, 200_000
 """At most so many labelled documents are read to fit the weights, the first by a hash of doc_id, and so many pairs of them compared."""
 PAIRS_EACH, STEPS, RATE, DECAY, HASH_DECAY = 40, 400, 0.2, 1e-3, 1e-2
 SEED, CUT, BINS = 7, 0.3, 4096
-HASH_BITS, DAMPING = 10, 32
+HASH_BITS, DAMPING = 9, 32
 """Hashed words and pairs fall in 2**HASH_BITS cells with a sign; short texts count as if they had DAMPING more words."""
 
 KINDS = {
@@ -105,19 +105,21 @@ class Ranker:
 
     def __init__(self, x: np.ndarray, cells: np.ndarray, y: np.ndarray) -> None:
         self.mean, self.spread = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
-        self.unit = np.sqrt((cells**2).mean(0)) + 1e-4 if len(x) else np.ones(1 << HASH_BITS)
+        self.unit = np.sqrt(np.einsum("ij,ij->j", cells, cells, dtype=np.float64) / len(x)) + 1e-4 if len(x) else np.ones(1 << HASH_BITS)
         self.w = np.zeros(N_FEATURES + (1 << HASH_BITS))
         self.threshold, self.scale, self.quantile = 0.0, 1.0, 0.0
         good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         if len(good) and len(bad):
-            z = np.concatenate([np.clip((x - self.mean) / self.spread, -8, 8), cells / self.unit], 1).astype(np.float32)
+            own, unit = np.clip((x - self.mean) / self.spread, -8, 8).astype(np.float32), self.unit.astype(np.float32)
             decay = np.where(np.arange(len(self.w)) < N_FEATURES, DECAY, HASH_DECAY)
             rng = np.random.default_rng(SEED)
             n = min(MAX_PAIRS, PAIRS_EACH * max(len(good), len(bad)))
             one, two = rng.choice(good, n), rng.choice(bad, n)
             m, v = np.zeros(len(self.w)), np.zeros(len(self.w))
             for step in range(1, STEPS + 1):  # the loss and a small weight decay, by Adam
-                g = z.T @ pair_loss(z @ self.w.astype(np.float32), one, two)[1].astype(np.float32) + decay * self.w
+                w = self.w.astype(np.float32)
+                slope = pair_loss(own @ w[:N_FEATURES] + cells @ (w[N_FEATURES:] / unit), one, two)[1].astype(np.float32)
+                g = np.concatenate([slope @ own, slope @ cells / unit]) + decay * self.w
                 m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
                 self.w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
@@ -179,7 +181,7 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ra
                 doc, cell, value = hashed(w)
                 k = hi - lo
                 dense = np.bincount(doc * (1 << HASH_BITS) + cell, value, k << HASH_BITS).astype(np.float32).reshape(k, -1)
-                sparse = [np.flatnonzero(r).astype(np.uint16).tobytes() + r[r != 0].tobytes() for r in dense]
+                sparse = [np.flatnonzero(r).astype(np.uint16).tobytes() + r[r != 0].astype(np.float16).tobytes() for r in dense]
                 x = [r.tobytes() for r in features(w, offsets)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(sparse, pa.binary()), batch["quality"].slice(lo, k)], names=["x", "cells", "y"])
 
@@ -187,8 +189,8 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ra
     x = np.array([np.frombuffer(r[0]) for r in found]).reshape(-1, N_FEATURES)
     cells = np.zeros((len(found), 1 << HASH_BITS), np.float32)
     for i, (_, blob, _) in enumerate(found):
-        k = len(blob) // 6
-        cells[i, np.frombuffer(blob, np.uint16, k)] = np.frombuffer(blob, np.float32, k, 2 * k) if k % 2 == 0 else np.frombuffer(blob[2 * k :], np.float32)
+        k = len(blob) // 4
+        cells[i, np.frombuffer(blob, np.uint16, k)] = np.frombuffer(blob, np.float16, k, 2 * k)
     return Ranker(x, cells, np.array([r[2] for r in found], int))
 
 
