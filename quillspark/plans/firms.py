@@ -78,8 +78,9 @@ def step_aggregate(spark: SparkSession, d: str) -> DataFrame:
     """Total of the latest active period of each firm, at every day where any period starts or has just ended."""
     f = fiscal(spark, d)
     events = f.select(F.col("a").alias("x")).union(f.select(F.date_add("b", 1))).distinct()
-    last = iv.latest_active(iv.active_at(events, f, "x", "a", "b"), ["x", "firm"], "a", ["fy"], ["xrd"])
-    return last.groupBy(F.col("x").cast("string").alias("event")).agg(F.count("*").alias("n_firms"), F.round(F.sum("xrd"), 2).alias("total")).filter("total > 0")
+    spells = iv.latest_spells(f, ["firm"], "a", "b", ["fy"], "xrd").withColumn("n_firms", F.lit(1))
+    found = iv.sums_at(events, spells, "x", "a", "b", ["n_firms", "xrd"]).filter("xrd > 0")
+    return found.select(F.col("x").cast("string").alias("event"), "n_firms", F.round("xrd", 2).alias("total"))
 
 
 @query("""SELECT o_custkey AS firm, year(o_orderdate) AS fy, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS value, count(*) AS n_filings FROM orders WHERE o_orderstatus = 'F' AND (o_orderdate - date_trunc('year', o_orderdate)) BETWEEN INTERVAL 30 DAY AND INTERVAL 330 DAY GROUP BY ALL""")
