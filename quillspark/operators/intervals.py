@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.dates import month
 
-DATE_BITS = 22
-"""Days from year 1 to 9999 are fewer than 2 ** 22."""
-
 
 def active_at(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str) -> DataFrame:
     """Pairs of a point and an interval that holds it (closed).
@@ -29,35 +26,35 @@ def latest_active(pairs: DataFrame, point: list[str], start: str, ties: list[str
 
 
 def latest_spells(intervals: DataFrame, group: list[str], start: str, end: str, ties: list[str], value: str) -> DataFrame:
-    """The intervals cut to the days on which they are their group's latest active one (latest_active without the points).
+    """Adds the days (first, last) on which an interval is its group's latest active one: latest_active without the points.
 
-    An interval without a value keeps the days that no other one holds. Intervals that start later must not end earlier; what is left
-    of them is disjoint, so it adds up over groups without pairs of points and intervals.
+    An interval without a value has the days that no other one holds. Intervals that start later must not end earlier. Spells are
+    disjoint, so they add up over groups without pairs of points and intervals; one with no days has first > last or a null.
     """
-    known = intervals.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
     w = W.partitionBy(*group).orderBy(start, *ties)
     back = W.partitionBy(*group).orderBy(*(F.desc(c) for c in (start, *ties)))
     has = F.col(value).isNotNull()
     nearest = lambda column, window: F.last(F.when(has, F.col(column)), ignorenulls=True).over(window.rowsBetween(W.unboundedPreceding, -1))
     to = F.least(end, F.date_sub(nearest(start, back), 1))
     bare_from, bare_to = F.greatest(start, F.date_add(nearest(end, w), 1)), F.least(to, F.date_sub(F.lead(start).over(w), 1))
-    cut = known.select("*", F.when(has, F.col(start)).otherwise(bare_from).alias("_from"), F.when(has, to).otherwise(bare_to).alias("_to"))
-    return cut.filter("_from <= _to").withColumns({start: F.col("_from"), end: F.col("_to")}).drop("_from", "_to")
+    known = intervals.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
+    return known.select("*", F.when(has, F.col(start)).otherwise(bare_from).alias("first"), F.when(has, to).otherwise(bare_to).alias("last"))
 
 
-def sums_at(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, values: list[str]) -> DataFrame:
-    """Sums of `values` over the intervals that hold each point (closed); points are distinct, those in no interval are left out.
+def daily_sums(intervals: DataFrame, start: str, end: str, values: list[str], day: str) -> DataFrame:
+    """Sums of `values` over the intervals that hold each day (closed), for every day that any holds.
 
-    Intervals are cut into aligned blocks of 1, 2, 4, ... days, at most two of a size, and summed by block; a point meets the one block
-    of each size that holds it. So no interval meets its points, and nothing is subtracted: sums of doubles don't drift.
+    Intervals are cut into aligned blocks of 1, 2, 4, ... days, at most two of a size, and summed by block; only those sums are spread
+    over days. So no interval is spread over its days, and nothing is subtracted: sums of doubles don't drift.
     """
     sizes = F.sequence(F.lit(0), F.floor(F.log2(F.datediff(end, start) + 1)).cast("int"))
     cut = intervals.filter(F.col(start) <= F.col(end)).select(*values, F.unix_date(start).alias("_a"), (F.unix_date(end) + 1).alias("_b"), F.explode(sizes).alias("_size"))
     cut = cut.withColumns({"_a": F.expr("shiftright(_a + shiftleft(1, _size) - 1, _size)"), "_b": F.expr("shiftright(_b, _size)")}).filter("_a < _b")
     ends = F.array(F.when(F.col("_a").bitwiseAND(1) == 1, F.col("_a")), F.when(F.col("_b").bitwiseAND(1) == 1, F.col("_b") - 1))
-    blocks = cut.select(*values, "_size", F.explode(ends).alias("_block")).filter("_block IS NOT NULL").groupBy("_size", "_block").agg(*(F.sum(v).alias(v) for v in values))
-    held = points.select(at, F.explode(F.sequence(F.lit(0), F.lit(DATE_BITS))).alias("_size")).withColumn("_block", F.expr(f"shiftright(unix_date({at}), _size)"))
-    return held.join(blocks, ["_size", "_block"]).groupBy(at).agg(*(F.sum(v).alias(v) for v in values))
+    sums = [F.sum(v).alias(v) for v in values]
+    blocks = cut.select(*values, "_size", F.explode(ends).alias("_block")).filter("_block IS NOT NULL").groupBy("_size", "_block").agg(*sums)
+    days = F.expr("sequence(shiftleft(_block, _size), shiftleft(_block + 1, _size) - 1)")
+    return blocks.select(*values, F.explode(days).alias("_day")).groupBy(F.date_from_unix_date("_day").alias(day)).agg(*sums)
 
 
 def valid_at(at: Column, start: Column, end: Column) -> Column:

@@ -76,10 +76,11 @@ def step_segments(spark: SparkSession, d: str) -> DataFrame:
   SELECT strftime(x, '%Y-%m-%d') AS event, count(*) AS n_firms, round(sum(v), 2) AS total FROM (SELECT x, firm, arg_max(xrd, (a, fy)) AS v FROM e JOIN f ON x BETWEEN a AND b GROUP BY x, firm) GROUP BY x HAVING sum(v) > 0""")
 def step_aggregate(spark: SparkSession, d: str) -> DataFrame:
     """Total of the latest active period of each firm, at every day where any period starts or has just ended."""
-    f = fiscal(spark, d)
-    events = f.select(F.col("a").alias("x")).union(f.select(F.date_add("b", 1))).distinct()
-    spells = iv.latest_spells(f, ["firm"], "a", "b", ["fy"], "xrd").withColumn("n_firms", F.lit(1))
-    found = iv.sums_at(events, spells, "x", "a", "b", ["n_firms", "xrd"]).filter("xrd > 0")
+    spells = iv.latest_spells(fiscal(spark, d), ["firm"], "a", "b", ["fy"], "xrd")
+    row = lambda first, last, n, value, event: F.struct(first.alias("first"), last.alias("last"), F.lit(n).alias("n_firms"), value.cast("double").alias("xrd"), F.lit(event).alias("events"))
+    days = [row(x, x, 0, F.lit(None), 1) for x in (F.col("a"), F.date_add("b", 1))]
+    rows = spells.select(F.inline(F.array(row(F.col("first"), F.col("last"), 1, F.col("xrd"), 0), *days)))
+    found = iv.daily_sums(rows, "first", "last", ["n_firms", "xrd", "events"], "x").filter("events > 0 AND xrd > 0")
     return found.select(F.col("x").cast("string").alias("event"), "n_firms", F.round("xrd", 2).alias("total"))
 
 

@@ -40,12 +40,12 @@ def test_step_aggregate_has_no_row_per_event_and_firm(spark, orders):
     assert not [line for line in plan.splitlines() if "Aggregate [x#" in line and ", firm#" in line.split("]")[0]]
 
 
-def test_sums_at(spark):
+def test_daily_sums(spark):
     rnd = random.Random(3)
     first = date(1969, 11, 1)
     spans = [(first + timedelta(days=a), first + timedelta(days=a + n - 1), v) for a, n, v in ((rnd.randrange(400), rnd.choice([0, 1, 2, 3, 64, 365, 366, 1000]), rnd.randrange(1, 99)) for _ in range(300))]
-    days = [first + timedelta(days=x) for x in range(-3, 1500, 4)]
-    frame = spark.createDataFrame(spans, "a date, b date, v int")
-    found = iv.sums_at(spark.createDataFrame([(x,) for x in days], "x date"), frame.withColumn("n", F.lit(1)), "x", "a", "b", ["n", "v"])
+    frame = spark.createDataFrame(spans, "a date, b date, v int").withColumn("n", F.lit(1))
+    found = iv.daily_sums(frame, "a", "b", ["n", "v"], "x")
+    days = [first + timedelta(days=x) for x in range(-3, 1500)]
     want = {x: (len(hit), sum(hit)) for x in days if (hit := [v for a, b, v in spans if a <= x <= b])}
     assert {r.x: (r.n, r.v) for r in found.collect()} == want
