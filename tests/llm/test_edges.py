@@ -101,6 +101,26 @@ def test_line_dedup_of_many_near_copies(spark):
     assert found == brute.removed_lines(variants)
 
 
+def test_line_dedup_is_native(spark, monkeypatch):
+    """No Python on executors; rows that repeat a doc_id with other texts; all blanks between words; sets of up to 20 words."""
+    rng = random.Random(3)
+    blank = [" ", "\t", "\v", "\f", "\r", "  "]
+    docs = []
+    for i in range(120):
+        w = [f"a{j}" for j in range(rng.randrange(1, 21))]
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"b{rng.randrange(6)}"
+        docs.append((i, rng.choice(blank).join(w) + "\n \t\n" + rng.choice(["the", "", f"x{i} y z\u00a0z"])))
+    df = spark.createDataFrame(docs, SCHEMA)
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(df), name, lambda *a, **b: pytest.fail("Python on executors"))
+    found = {r.doc_id: tuple(r)[1:] for r in lines.line_report(df).collect()}
+    assert found == brute.removed_lines(docs)
+    near = [(1, "q r s t u v"), (5, "q r s t u v"), (5, "k l m n o p"), (9, "k l m n o p z")]
+    gone = {(r.doc_id, r.line_no, r.match_doc) for r in lines.line_matches(spark.createDataFrame(near, SCHEMA)).collect()}
+    assert gone == {(5, 0, 1), (9, 0, 5)}
+
+
 def test_decontamination(spark, rows):
     items = [(1, rows[0][1]), (BIG, "w1 w2"), (None, None)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
